@@ -160,6 +160,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(plan["sequence"][run] + rank // copies), pa.array(plan["offset"][run] + rank % copies * size)], names=["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    ranked = cut.join(by_block.select("length", "block", "skip"), ["length", "block"]).select("key", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("nth") + F.col("skip")).alias("rank"))
+    ranked = cut.join(by_block.select("length", "block", "skip").hint("merge"), ["length", "block"]).select("key", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("nth") + F.col("skip")).alias("rank"))
     placed = ranked.mapInArrow(place, f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed.withColumnRenamed("key", id_col)
