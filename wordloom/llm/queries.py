@@ -69,5 +69,12 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op7_byte_bpe, op10_learned_partitions)}
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import imatch
+
+    return imatch(documents(spark, sf_dir))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op7_byte_bpe, op8_imatch, op10_learned_partitions)}
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
