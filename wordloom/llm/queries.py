@@ -76,5 +76,13 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op7_byte_bpe, op8_imatch, op10_learned_partitions)}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    rows = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), length=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op7_byte_bpe, op8_imatch, op9_suffix_array_dedup, op10_learned_partitions)}
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
