@@ -84,5 +84,13 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op7_byte_bpe, op8_imatch, op9_suffix_array_dedup, op10_learned_partitions)}
+def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import dedup_passages
+
+    rows = dedup_passages(documents(spark, sf_dir).select("doc_id", "text"), length=50)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op6_suffix_trees, op7_byte_bpe, op8_imatch, op9_suffix_array_dedup, op10_learned_partitions)}
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}

@@ -20,14 +20,17 @@ WHOLE, CLOSE = 1, 2
 
 
 class Spans:
-    """The spans of a slice: anchors, window starts, and the distinct (gram, span) pairs in order."""
+    """The spans of a slice: anchors, window starts, and the distinct (gram, span) pairs in order.
 
-    def __init__(self, grams: np.ndarray, offsets: np.ndarray, length: int, gram: int, content: Callable):
+    rank: the rows' order of precedence, if it is not their own; the first stands for its pair.
+    """
+
+    def __init__(self, grams: np.ndarray, offsets: np.ndarray, length: int, gram: int, content: Callable, rank: np.ndarray | None = None):
         self.anchor, self.first, self.last = anchors(grams, offsets, length, gram)
         self.row = np.searchsorted(offsets, self.first, "right") - 1
         g = grams[self.anchor]
         s = content(self.first, self.last + length - self.first) ^ K.mix((self.anchor - self.first).astype(np.uint64))
-        order = np.lexsort((self.row, s, g))
+        order = np.lexsort((self.row if rank is None else rank[self.row], s, g))
         new = np.ones(len(order), bool)
         new[1:] = (g[order[1:]] != g[order[:-1]]) | (s[order[1:]] != s[order[:-1]])
         self.kind = np.empty(len(order), np.int64)
