@@ -92,5 +92,12 @@ def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op6_suffix_trees, op7_byte_bpe, op8_imatch, op9_suffix_array_dedup, op10_learned_partitions)}
+def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_toxicity, op5_probminhash, op6_suffix_trees, op7_byte_bpe, op8_imatch, op9_suffix_array_dedup, op10_learned_partitions)}
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
