@@ -14,8 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -201,6 +202,16 @@ def removed(s: Slice, length: int, close_groups: int) -> np.ndarray:
     return gone
 
 
+def valid_text(kept: Column) -> Column:
+    """The bytes as text, without those of characters that a cut has split."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return text(kept)
+
+
 def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
     """Removes every byte of a text that lies in a string of ``length`` bytes that also starts elsewhere.
 
