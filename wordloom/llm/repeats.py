@@ -28,7 +28,7 @@ class Spans:
     def __init__(self, grams: np.ndarray, offsets: np.ndarray, length: int, gram: int, content: Callable, rank: np.ndarray | None = None):
         self.anchor, self.first, self.last = anchors(grams, offsets, length, gram)
         self.row = np.searchsorted(offsets, self.first, "right") - 1
-        g = grams[self.anchor]
+        g = K.mix(grams[self.anchor])  # anchors have small grams; groups need even keys
         s = content(self.first, self.last + length - self.first) ^ K.mix((self.anchor - self.first).astype(np.uint64))
         order = np.lexsort((self.row if rank is None else rank[self.row], s, g))
         new = np.ones(len(order), bool)
