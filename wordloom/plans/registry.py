@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import feature_queries, graph_queries, stats_queries, text_queries  # noqa: F401
+    from . import feature_queries, graph_queries, stats_queries, suite_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
