@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Suffix rules of the published algorithm, by step: ending, replacement (fixed values).
@@ -66,7 +67,11 @@ def stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
-def stems(words: pd.Series) -> pd.Series:
-    known = {w: stem(w) for w in words.dropna().unique()}
-    return words.map(known)
+def stems(word: Column | str) -> Column:
+    """The stem of each word; each distinct word of a batch is worked out once."""
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map({w: stem(w) for w in words.dropna().unique()})
+
+    return run(word)
