@@ -3,10 +3,10 @@
 A first round (``repeats``) settles spans that occur whole elsewhere. What is left, one of each
 distinct span whose anchor's gram also stands in a different span, goes by its gram to groups of
 bounded memory. There a suffix array by linear grouping construction (``suffix_array``) sorts the
-spans' suffixes, and a window repeats if it shares its first ``length`` bytes with a neighbour.
-A gram with many different spans is refined first, so strings stay short: its windows are dealt by
-their distance to the anchor, and spans that agree on all that those windows have in common stay
-together; equal pieces are then taken once.
+pieces' suffixes, and a window repeats if it shares its first ``length`` bytes with a neighbour.
+Spans are refined first: their windows are dealt by their distance to the anchor, and pieces that agree
+on all that those windows have in common stay together. Equal pieces are taken once, and a piece alone
+needs nothing. Where many different pieces stay together they are cut more finely, so strings stay short.
 """
 
 from __future__ import annotations
@@ -48,18 +48,7 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram
     offset, width = np.zeros(len(start), np.int64), windows.copy()
     step = 22
     while len(owner):
-        order = np.argsort(family, kind="stable")
-        owner, family, offset, width = owner[order], family[order], offset[order], width[order]
-        at = np.flatnonzero(np.append(True, family[1:] != family[:-1]))
-        total = np.add.reduceat(width + length, at)
-        many = np.diff(at, append=len(family))
-        large = np.repeat(total > STRING_BYTES, many)
-        ready = np.repeat(many > 1, many) & ~large
-        mark_by_suffix_array(data, start, owner[ready], offset[ready], width[ready], family[ready], length, first, out)
-        owner, offset, width, family = owner[large], offset[large], width[large], family[large]
-        if not len(owner):
-            break
-        # cut into windows at like distance to the anchor; what all of a piece's windows share is its core
+        # cut into windows at like distance to the anchor
         low = offset - lead[owner]
         low_cell, high_cell = np.floor_divide(low, step), np.floor_divide(low + width - 1, step)
         cells = high_cell - low_cell + 1
@@ -69,15 +58,9 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram
         b = np.minimum(cell * step + step, low[pick] + width[pick])
         owner, family = owner[pick], family[pick]
         offset, width = a + lead[owner], b - a
-        # windows of one cell that are equal agree on the bytes from the cell's last start to its first end,
-        # as far as both spans have them; spans cut short at an end keep to the family of the whole cell
-        core_at = start[owner] + lead[owner] + cell * step + step - 1
-        full = (a == cell * step) & (b == cell * step + step)
-        core = K.span_hash(data, np.where(full, core_at, start[owner]), np.where(full, length - step + 1, 1))
-        joint = K.mix(family ^ K.mix((cell + (1 << 20)).astype(np.uint64)))
-        # a cell with a piece that is not full stays undivided
-        ragged = np.isin(joint, np.unique(joint[~full]))
-        family = np.where(ragged, joint, joint ^ core)
+        # what all windows of a cell have in common: from its last start to its first end; every piece holds it
+        core = K.span_hash(data, start[owner] + lead[owner] + cell * step + step - 1, np.full(len(owner), length - step + 1))
+        family = K.mix(family ^ K.mix((cell + (1 << 20)).astype(np.uint64))) ^ core
         # equal pieces are taken once: the copies repeat each other wholly
         content = K.mix(K.span_hash(data, start[owner] + offset, width + length - 1) + K.mix(width.astype(np.uint64)) * K.STARTS[0]) + K.mix(family)
         order = np.lexsort((owner, content))
@@ -90,6 +73,14 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram
         owner, family, offset, width = owner[~drop], family[~drop], offset[~drop], width[~drop]
         if step == 1:
             break  # a piece is one window now, and equal windows have met
+        order = np.argsort(family, kind="stable")
+        owner, family, offset, width = owner[order], family[order], offset[order], width[order]
+        at = np.flatnonzero(np.append(True, family[1:] != family[:-1]))[: len(family)]
+        many = np.diff(at, append=len(family))
+        large = np.repeat(np.add.reduceat(width + length, at) > STRING_BYTES, many) if len(at) else np.zeros(0, bool)
+        ready = np.repeat(many > 1, many) & ~large
+        mark_by_suffix_array(data, start, owner[ready], offset[ready], width[ready], family[ready], length, first, out)
+        owner, offset, width, family = owner[large], offset[large], width[large], family[large]
         step = max(1, step // 4)
     out[np.repeat(twice, windows)] = True
     return out
