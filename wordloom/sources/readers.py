@@ -15,7 +15,7 @@ from . import lines as L
 def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``file, line_no, line``: whole files split at line ends, so numbers hold within each file."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit("utf-8"))
+    text = F.decode("content", "utf-8")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.posexplode(F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
 
 
@@ -33,11 +33,16 @@ def raw_puns(spark: SparkSession, positive: str, negative: str, proverbs: str) -
     return L.raw_union(*(text_lines(spark, p) for p in (positive, negative, proverbs)))
 
 
-def one_liners(spark: SparkSession, positive: str, negative: str, encoding: str = "windows-1252") -> DataFrame:
-    """``doc, label``: +1 and -1, files in a Windows code page."""
+#: What the Windows code page 1252 has in place of the control characters of Latin 1.
+LATIN = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS = bytes(range(0x80, 0xA0)).decode("windows-1252", "replace")
+
+
+def one_liners(spark: SparkSession, positive: str, negative: str) -> DataFrame:
+    """``doc, label``: +1 and -1, files in the Windows code page 1252."""
 
     def side(path: str, label: int) -> DataFrame:
-        text = F.decode("content", F.lit(encoding))
+        text = F.translate(F.decode("content", "iso-8859-1"), LATIN, WINDOWS)
         rows = spark.read.format("binaryFile").load(path).select(F.explode(F.split(text, r"\r?\n")).alias("doc"))
         return rows.where("doc <> ''").withColumn("label", F.lit(label))
 
