@@ -135,9 +135,9 @@ def pajek(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = lines.where(F.col("line").startswith("*")).select(F.col("line_no").alias("from"), head.alias("section")).withColumn("until", F.lead("from").over(Window.orderBy("from")))  # a row per section
     body = lines.join(F.broadcast(marks), (F.col("line_no") > F.col("from")) & (F.col("until").isNull() | (F.col("line_no") < F.col("until"))))
     q = F.regexp_extract("line", r'^\s*(\d+)\s+"?([^"]*)"?', 2)
-    v = body.where("section = 'vertices'").select(F.regexp_extract("line", r"^\s*(\d+)", 1).cast("int").alias("id"), F.trim(q).alias("name"))
+    v = body.where("section = 'vertices'").select(F.regexp_extract("line", r"^\s*(\d+)", 1).try_cast("int").alias("id"), F.trim(q).alias("name"))
     p = F.split(F.trim("line"), r"\s+")
-    arcs = body.where("section IN ('arcs', 'edges')").select(p[0].cast("int").alias("s"), p[1].cast("int").alias("t"), F.try_element_at(p, F.lit(3)).cast("double").alias("w"))
+    arcs = body.where("section IN ('arcs', 'edges')").select(p[0].try_cast("int").alias("s"), p[1].try_cast("int").alias("t"), F.try_element_at(p, F.lit(3)).try_cast("double").alias("w"))
     named = arcs.join(v.select(F.col("id").alias("s"), F.col("name").alias("cue")), "s").join(v.select(F.col("id").alias("t"), F.col("name").alias("resp")), "t")
     return v, named.select("cue", "resp", "w")
 
