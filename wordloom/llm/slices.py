@@ -112,4 +112,5 @@ def judged(slices: DataFrame, emit: Callable, judge: Callable, name: str, store:
     verdicts = store.put(sent.groupBy("group").applyInArrow(decide, "slice long, group long, verdict binary"), f"verdict_{name}", "uncompressed")
     column = f"verdict_{name}"
     by_slice = verdicts.groupBy("slice").agg(F.collect_list(F.struct("group", "verdict")).alias(column))
-    return slices.join(by_slice, "slice", "left")
+    # both sides grow with the corpus: neither is broadcast, however small it still is
+    return slices.join(by_slice.hint("merge"), "slice", "left")
