@@ -89,14 +89,21 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray, rest_a: float, rest_b: flo
     return float((1 / ((a_up_to[last] + rest_a) / a + (b_beyond[last] + rest_b) / b)).sum())
 
 
+#: Bytes of a shingle's hash and of its weight in a blob. Of 40-bit hashes two texts of 500 words share one by
+#: chance with probability 2e-7.
+HASH_BYTES, WEIGHT_BYTES = 5, 4
+
+
 class Texts:
     """Shingles of several texts side by side."""
 
     def __init__(self, blobs: list[bytes]):
-        sizes = np.array([len(b) // 12 for b in blobs], np.int64)
+        sizes = np.array([len(b) // (HASH_BYTES + WEIGHT_BYTES) for b in blobs], np.int64)
         self.size, self.begin = sizes, np.cumsum(sizes) - sizes
-        self.value = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, sizes.tolist(), strict=True)])
-        self.weight = np.concatenate([np.frombuffer(b, np.uint32, n, 8 * n) for b, n in zip(blobs, sizes.tolist(), strict=True)]).astype(np.int64)
+        wide = np.zeros((int(sizes.sum()), 8), np.uint8)
+        wide[:, :HASH_BYTES] = np.concatenate([np.frombuffer(b, np.uint8, HASH_BYTES * n) for b, n in zip(blobs, sizes.tolist(), strict=True)]).reshape(-1, HASH_BYTES)
+        self.value = wide.view(np.uint64).ravel()
+        self.weight = np.concatenate([np.frombuffer(b, np.uint32, n, HASH_BYTES * n) for b, n in zip(blobs, sizes.tolist(), strict=True)]).astype(np.int64)
         self.owner = np.repeat(np.arange(len(blobs)), sizes)
         self.total = np.bincount(self.owner, weights=self.weight, minlength=len(blobs))
 
@@ -155,7 +162,7 @@ def connect(texts: Texts, order: np.ndarray, near: float, seeds: np.ndarray | No
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, a, b, bands, grams``: a text's key, its band hashes, its sorted shingles and their weights."""
+    """``doc, a, b, bands``: a text's key and its band hashes, none for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,20 +175,36 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for w in (0, 1):
                     key[w, full] = K.span_hash(d, o[:-1][full], np.diff(o)[full], w)
                 row, value, weight = shingles(d, o)
+                some = np.bincount(row, minlength=n) > 0
                 signature = prob_min_hash(row, value, weight, n, BANDS * ROWS)
-                order = np.lexsort((value, row))
-                row, value, weight = row[order], value[order], weight[order]
-                ends = np.searchsorted(row, np.arange(n + 1)).tolist()
-                raw_value, raw_weight = value.tobytes(), weight.astype(np.uint32).tobytes()
-                grams = [raw_value[8 * a : 8 * b] + raw_weight[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], n, axis=0)
                 for k in range(ROWS):
                     band = K.mix(band * K.STARTS[0] + signature[:, k::ROWS])
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), bands, pa.array(grams, pa.binary())], names=["doc", "a", "b", "bands", "grams"])
+                ends = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band[some].view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), bands], names=["doc", "a", "b", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL")
-    return rows.mapInArrow(run, "doc long, a long, b long, bands array<long>, grams binary")
+    return rows.mapInArrow(run, "doc long, a long, b long, bands array<long>")
+
+
+def gram_sets(texts: DataFrame) -> DataFrame:
+    """``id, grams`` of ``id, text``: sorted shingle hashes, then their weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_buffers(batch.column(1))
+            for lo, hi in K.slices(offsets, 2 << 20):
+                row, value, weight = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                value &= np.uint64((1 << 8 * HASH_BYTES) - 1)
+                order = np.lexsort((value, row))
+                row, value, weight = row[order], value[order], weight[order]
+                ends = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
+                raw, mass = np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes(), weight.astype(np.uint32).tobytes()
+                grams = [raw[HASH_BYTES * x : HASH_BYTES * y] + mass[WEIGHT_BYTES * x : WEIGHT_BYTES * y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(grams, pa.binary())], names=["id", "grams"])
+
+    return texts.mapInArrow(run, "id long, grams binary")
 
 
 def verify(rows: DataFrame, near: float) -> DataFrame:
@@ -215,23 +238,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns ``id_col, text_id, class_id``: ``text_id`` is the smallest id of the same text, ``class_id`` the
     smallest id of the class. Two texts are linked if the probability Jaccard similarity of their weighted
     five-word shingles is ``near`` or more. Null and empty texts are one text, alike to no other; a text of
-    fewer words than a shingle is alike to equal word sequences only. Ids of repeated rows come once each
-    with each of their texts; rows without an id are left out. An empty table gives no rows.
+    fewer words than a shingle is alike to equal word sequences only. An id that comes with several texts has a
+    row for each, and they are compared as one of them; rows without an id are left out. An empty table gives no rows.
     """
     store = Store(docs.sparkSession, "near")
     sketches = store.put(sketch(docs, id_col, text_col), "sketches")
     members = sketches.select("doc", "a", "b").distinct()
     reps = members.groupBy("a", "b").agg(F.min("doc").alias("id"))
     # one row of each text: ids of repeated rows may come with several texts
-    one = sketches.join(reps, ["a", "b"]).where("doc = id").dropDuplicates(["a", "b"]).where(F.length("grams") > 0)
-    texts = store.put(one.select("id", "bands", "grams"), "texts")
+    one = sketches.join(reps.hint("merge"), ["a", "b"]).where("doc = id").dropDuplicates(["a", "b"]).where(F.size("bands") > 0)
+    texts = one.select("id", "bands")
 
     bucketed = store.put(texts.select("id", F.explode("bands").alias("bucket")), "buckets")
     sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "id")).alias("y")).where("n > 1")
     distinct = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    shared = store.put(bucketed.join(distinct.select("bucket", "n"), "bucket"), "shared")
-    share = shared.groupBy("id").agg(F.sum("n").alias("share"))
-    ranked = shared.join(share, "id").join(texts.select("id", "grams"), "id")
+    shared = store.put(bucketed.join(distinct.select("bucket", "n").hint("merge"), "bucket"), "shared")
+    share = store.put(shared.groupBy("id").agg(F.sum("n").alias("share")), "share")
+    # only texts that share a bucket are read again; ids that came with several texts stand for their smallest
+    again = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(share.select("id").hint("merge"), "id", "left_semi")
+    grams = store.put(gram_sets(again).groupBy("id").agg(F.min("grams").alias("grams")).where(F.length("grams") > 0), "grams", "lz4")
+    ranked = shared.join(share.hint("merge"), "id").join(grams.hint("merge"), "id")
 
     # parts of large buckets all hold their most shared texts
     large = shared.where(F.col("n") > PART_MEMBERS)
@@ -267,5 +293,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = connected_components(links, store, "classes")
 
     # a class is named by its smallest text id already
-    named = store.put(reps.join(classes, "id", "left").select("a", "b", F.col("id").alias("text_id"), F.coalesce("class", "id").alias("class_id")), "named")
-    return members.join(named, ["a", "b"]).select(F.col("doc").alias(id_col), "text_id", "class_id")
+    named = store.put(reps.join(classes.hint("merge"), "id", "left").select("a", "b", F.col("id").alias("text_id"), F.coalesce("class", "id").alias("class_id")), "named")
+    return members.join(named.hint("merge"), ["a", "b"]).select(F.col("doc").alias(id_col), "text_id", "class_id")
