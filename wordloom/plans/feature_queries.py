@@ -243,11 +243,11 @@ def c27(spark, sf):
     return c.select("c_custkey", F.round(e("a"), 6).alias("forward"), F.round(e("b"), 6).alias("backward"), F.round(both, 6).alias("difference"))
 
 
-@query("c29_punch_strength", "SELECT o_custkey, max_by(o_orderkey, (o_totalprice, -o_orderkey)) AS most, min_by(o_orderkey, (o_totalprice, o_orderkey)) AS least, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_custkey")
+@query("c29_punch_strength", "SELECT o_custkey, max_by(o_orderkey, (o_totalprice, -o_orderkey)) AS most, min_by(o_orderkey, (o_totalprice, o_orderkey)) AS least, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY o_custkey")
 def c29(spark, sf):
     o = X.table(spark, sf, "orders")
     key = F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k"))
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", key).alias("most"), F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("least"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", key).alias("most"), F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("least"), F.round(F.avg("o_totalprice"), 6).alias("mean"))
 
 
 @query("c31_difference_sign", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 AND l_tax > 0 THEN round(l_discount - l_tax, 6) END AS diff, CASE WHEN l_discount > 0 AND l_tax > 0 THEN CASE WHEN l_discount = l_tax THEN 1e-10 ELSE CAST(sign(l_discount - l_tax) AS DOUBLE) END END AS sign FROM lineitem")

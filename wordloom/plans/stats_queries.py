@@ -15,10 +15,10 @@ from .registry import query
 _r = lambda c: F.round(c, 6).alias(c)
 
 
-@query("f01_mean_or_zero", "SELECT c_custkey, round(coalesce(avg(o_totalprice), 0), 4) AS mean FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("f01_mean_or_zero", "SELECT c_custkey, round(coalesce(avg(o_totalprice), 0), 6) AS mean FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def f01(spark, sf):
     o = X.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("mean"))
-    return X.table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.round(F.coalesce("mean", F.lit(0.0)), 4).alias("mean"))
+    return X.table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))
 
 
 @query("f02_group_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS total, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY 1, 2")
