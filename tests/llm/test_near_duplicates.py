@@ -68,6 +68,27 @@ def test_large_groups_in_parts(spark, monkeypatch, members):
     assert got == classes(rows)
 
 
+def test_bridge_between_classes_of_hubs(spark, monkeypatch):
+    """Two families of near copies, each with a hub of their bucket, that only one pair in two of its parts links."""
+    for name, value in {"PART_MEMBERS": 4, "HUBS": 2, "ASKED": 4, "BANDS": 1, "ROWS": 1}.items():
+        monkeypatch.setattr(N, name, value)
+
+    def edit(words, at, number, mark):
+        return [f"{mark}{i}" if at <= i < at + number else w for i, w in enumerate(words)]
+
+    a = [f"g{i}" for i in range(100)]
+    x = edit(a, 10, 6, "x")
+    y = edit(x, 30, 6, "y")
+    b = edit(y, 50, 6, "z")
+    made = {0: a, 1: b, 100: x, 101: y} | {k: edit(a if k % 2 else b, 75 + k % 20, 1, f"n{k}_") for k in range(2, 20)}
+    rows = sorted((i, " ".join(w)) for i, w in made.items())
+    want = classes(rows)
+    assert set(want.values()) == {0} and len(set(classes([r for r in rows if r[0] != 100]).values())) > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert N.sketch(docs, "doc_id", "text").select("bands").distinct().count() == 1
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()} == want
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(3)
     for _ in range(50):

@@ -9,8 +9,10 @@ Copies are collapsed first. Buckets with the same members are looked at once. In
 verified exactly along a search from its most shared text: only texts not yet linked are compared,
 and by the triangle inequality only those that can be near. So a bucket of near copies costs about
 its size, and gives links that connect what is linked, not all pairs. A bucket too large for a task is
-dealt to parts that all hold its most shared texts; texts that found no link there are then compared
-with every part.
+dealt to parts that all hold its most shared texts; its texts outside the class that then has most of it
+are compared with the other classes' texts in every part. That is each pair of texts of two classes, less
+those that the triangle inequality rules out and those of classes that a task has joined; where a
+large bucket stays in two large classes, it is the product of their sizes.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SHINGLE, NEAR = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Members of a part of a bucket, texts that all parts hold, bytes of shingles of a task's group.
 PART_MEMBERS, HUBS, GROUP_BYTES = 2048, 64, 16 << 20
+#: Texts that a part is compared with at once, and texts whose distances rule out pairs.
+ASKED, PIVOTS = 512, 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,19 +130,13 @@ class Texts:
         return out
 
 
-def connect(texts: Texts, order: np.ndarray, near: float, seeds: np.ndarray | None = None) -> list[tuple[int, int]]:
+def connect(texts: Texts, order: np.ndarray, near: float) -> list[tuple[int, int]]:
     """Links that connect whatever is linked among the texts of ``order``.
 
-    A search goes from each text not yet reached, in order; only unreached texts are compared. seeds:
-    compare these with all the others only, and do not search on.
+    A search goes from each text not yet reached, in order; only unreached texts are compared.
     """
     links: list[tuple[int, int]] = []
     reach, slack = 1 - near, 1e-9
-    if seeds is not None:
-        for s in seeds.tolist():
-            others = order[order != s]
-            links += [(s, int(o)) for o in others[texts.like(s, others) >= near - slack]]
-        return links
     left = order
     while len(left) > 1:
         root, left = int(left[0]), left[1:]
@@ -161,6 +159,30 @@ def connect(texts: Texts, order: np.ndarray, near: float, seeds: np.ndarray | No
     return links
 
 
+def bridge(texts: Texts, role: np.ndarray, kind: np.ndarray, near: float) -> list[tuple[int, int]]:
+    """Links between classes ``kind``: of texts of role 1 or -1 to texts of role 1 or 0, one for two classes.
+
+    Classes that a link has joined are one from then on. Only pairs whose distances to one text of each of the
+    largest classes differ by no more than a link's are compared.
+    """
+    links: list[tuple[int, int]] = []
+    reach, slack = 1 - near, 1e-9
+    _, kind = np.unique(kind, return_inverse=True)
+    pivots = [int(np.argmax(kind == c)) for c in np.argsort(-np.bincount(kind), kind="stable")[:PIVOTS]]
+    away = np.stack([1 - texts.like(p, np.arange(len(kind))) for p in pivots])
+    members = np.flatnonzero(role >= 0)
+    for s in np.flatnonzero(role).tolist():
+        others = members[kind[members] != kind[s]]
+        others = others[(np.abs(away[:, others] - away[:, [s]]) <= reach + slack).all(axis=0)]
+        if not len(others):
+            continue
+        hit = others[1 - texts.like(s, others) <= reach + slack]
+        found, at = np.unique(kind[hit], return_index=True)
+        links += [(s, int(o)) for o in hit[at]]
+        kind[np.isin(kind, found)] = kind[s]
+    return links
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, a, b, bands``: a text's key and its band hashes, none for a text without words."""
 
@@ -208,13 +230,14 @@ def gram_sets(texts: DataFrame) -> DataFrame:
 
 
 def verify(rows: DataFrame, near: float) -> DataFrame:
-    """Links ``a, b`` within each part of a bucket; rows ``task, bucket, part, id, role, grams``.
+    """Links ``a, b`` within each part of a bucket; rows ``task, bucket, part, id, share, role, class, grams``.
 
-    role 0: a member; -1: a text that the whole part is compared with.
+    role 0: a member; -1: a text that the members of other classes are compared with; 1: both. Where all are
+    members, all are compared.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        frame = table.select(["bucket", "part", "share", "id", "role"]).to_pandas()
+        frame = table.select(["bucket", "part", "share", "id", "role", "class"]).to_pandas()
         blobs = table.column("grams")
         frame["at"] = np.arange(len(frame))
         frame = frame.sort_values(["bucket", "part", "share", "id"], ascending=[True, True, False, True])
@@ -223,8 +246,7 @@ def verify(rows: DataFrame, near: float) -> DataFrame:
             if len(g) < 2:
                 continue
             texts, ids, role = Texts([blobs[i].as_py() for i in g["at"]]), g["id"].to_numpy(), g["role"].to_numpy()
-            seeds = np.flatnonzero(role < 0)
-            for x, y in connect(texts, np.arange(len(g)), near, seeds if len(seeds) else None):
+            for x, y in bridge(texts, role, g["class"].to_numpy(), near) if role.any() else connect(texts, np.arange(len(g)), near):
                 out_a.append(ids[x])
                 out_b.append(ids[y])
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -269,27 +291,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     everywhere = F.when(F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int")))
     dealt = marked.withColumn("part", F.explode(everywhere))
 
-    total = dealt.agg(F.sum(F.length("grams"))).first()[0] or 0
-    tasks = max(1, -(-total // GROUP_BYTES))
+    columns = ["bucket", "part", "id", "share", "role", "class", "grams"]
+    volume = dealt.agg(F.sum(F.length("grams")).alias("bytes"), F.count("*").alias("rows")).first()
 
-    def by_task(df: DataFrame) -> DataFrame:
-        return df.withColumn("task", F.pmod(F.xxhash64("bucket", "part"), F.lit(tasks)))
+    def by_task(df: DataFrame, size: float) -> DataFrame:
+        return df.select(F.pmod(F.xxhash64("bucket", "part"), F.lit(max(1, int(-(-size // GROUP_BYTES))))).alias("task"), *columns)
 
-    links = store.put(verify(by_task(dealt.withColumn("role", F.lit(0))).select("task", "bucket", "part", "id", "share", "role", "grams"), near), "links")
+    links = store.put(verify(by_task(dealt.withColumns({"role": F.lit(0), "class": F.col("id")}), volume.bytes or 0), near), "links")
     if large.limit(1).count():
-        # texts of large buckets that found no link to a hub's class: compared with every part
+        # of two texts of different classes one at least is outside the bucket's largest class: it is compared with every part
         classes = connected_components(links, store, "hubs")
-        in_large = marked.where(F.col("n") > PART_MEMBERS).join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        central = in_large.where("hub").select("bucket", "class").distinct()
-        lone = in_large.join(central, ["bucket", "class"], "left_anti")
-        block = F.floor(F.row_number().over(Window.partitionBy("bucket", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")) / 32)
-        asked = lone.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(64)) * 1_000_000 + block).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        blocks = asked.select("bucket", "part", "block").distinct()
-        rest = in_large.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int"))
-        against = rest.join(blocks, ["bucket", "part"]).withColumn("role", F.lit(0)).join(asked.select("bucket", "part", "block", "id").withColumn("self", F.lit(1)), ["bucket", "part", "block", "id"], "left_anti")
-        both = asked.withColumn("role", F.lit(-1)).select("bucket", "part", "block", "id", "share", "role", "grams").unionByName(against.select("bucket", "part", "block", "id", "share", "role", "grams"))
-        both = both.withColumn("part", F.xxhash64("part", "block"))
-        links = store.put(links.unionByName(verify(by_task(both).select("task", "bucket", "part", "id", "share", "role", "grams"), near)), "all_links")
+        placed = store.put(large.join(classes, "id", "left").select("bucket", "id", "n", F.coalesce("class", "id").alias("class")), "placed")
+        held = placed.groupBy("bucket", "class").agg(F.count("*").alias("held"))
+        main = held.groupBy("bucket").agg(F.max(F.struct("held", "class")).alias("main"), F.sum("held").alias("n"))
+        main = store.put(main.select("bucket", F.col("main.class").alias("main"), (F.col("n") - F.col("main.held")).alias("others"), "n").where("others > 0"), "main")
+        blocks = F.ceil(F.col("others") / ASKED).cast("int")
+        rows = main.agg(F.sum(F.col("others") * parts + F.col("n") * blocks)).first()[0]
+        if rows:
+            block, own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int")
+            within = placed.join(main.drop("n"), "bucket").withColumns({"asked": F.col("class") != F.col("main"), "own_block": block, "own": own})
+            asked = within.where("asked").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"block": F.col("own_block"), "role": F.when(F.col("part") == F.col("own"), 1).otherwise(-1)})
+            against = within.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).where("NOT asked OR block <> own_block").withColumns({"part": F.col("own"), "role": F.lit(0)})
+            both = asked.unionByName(against).select("bucket", F.xxhash64("part", "block").alias("part"), "id", "role", "class")
+            both = both.join(share.hint("merge"), "id").join(grams.hint("merge"), "id")
+            links = store.put(links.unionByName(verify(by_task(both, rows * volume.bytes / volume.rows), near)), "all_links")
     classes = connected_components(links, store, "classes")
 
     # a class is named by its smallest text id already
