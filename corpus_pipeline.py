@@ -39,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes bytes of 200-byte strings that start twice; what a cut leaves of a character goes with it."""
-    cut = substrings.dedup_substrings(docs, length=200)
-    return _documents(cut.withColumn("text", substrings.valid_text(F.col("kept"))))
+    cut = substrings.dedup_substrings(docs, length=200, as_text=True)
+    return _documents(cut.withColumn("text", F.col("kept")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

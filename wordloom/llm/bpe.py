@@ -249,7 +249,7 @@ def first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, sample
 
 
-def encode(parts: Iterable[tuple[object, np.ndarray, np.ndarray]], merge: Callable, slice_bytes: int = 4 << 20, most: int = 8_000_000) -> Iterator[tuple[object, int, int, np.ndarray, np.ndarray]]:
+def encode(parts: Iterable[tuple[object, np.ndarray, np.ndarray]], merge: Callable, slice_bytes: int = 4 << 20, most: int = 3_000_000) -> Iterator[tuple[object, int, int, np.ndarray, np.ndarray]]:
     """Encodes texts, each distinct pretoken once per about ``most`` pretokens.
 
     parts: ``(payload, data, offsets)``. merge: from distinct pretokens ``(data, start, length)`` to

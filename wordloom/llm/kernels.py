@@ -6,7 +6,9 @@ object is made for a word, a line or a window. Null texts are empty texts everyw
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,21 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+@lru_cache(1)
+def _trim():
+    """Arrow's buffers come from the C library from here on; returns what gives its free pages back."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc: its allocator keeps its own counsel
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives freed memory back: a worker is used again by other tasks, and must not keep what its largest slice took."""
+    _trim()(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its ``n + 1`` offsets; nulls are empty."""
     column = column.cast(pa.large_string())
@@ -37,6 +54,7 @@ def slices(offsets: np.ndarray, target: int) -> Iterator[tuple[int, int]]:
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + target, "right")) - 1)
         yield lo, hi
+        release()
         lo = hi
 
 

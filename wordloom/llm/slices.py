@@ -85,6 +85,7 @@ def over(slices: DataFrame, f: Callable[[Slice], Iterator[pa.RecordBatch]], sche
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from f(Slice(batch, i))
+                K.release()
 
     return slices.mapInArrow(run, schema)
 
@@ -106,6 +107,7 @@ def judged(slices: DataFrame, emit: Callable, judge: Callable, name: str, store:
         rows = sorted(zip(table.column("slice").to_pylist(), table.column("blobs").to_pylist(), strict=True))
         group = table.column("group")[0].as_py()
         done = list(judge(rows))
+        K.release()
         return pa.table({"slice": pa.array([x[0] for x in done], pa.int64()), "group": pa.array([group] * len(done), pa.int64()), "verdict": pa.array([x[1] for x in done], pa.binary())})
 
     sent = over(slices, send, "slice long, group long, blobs array<binary>")

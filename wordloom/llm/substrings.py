@@ -14,9 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -193,22 +192,21 @@ def removed(s: Slice, length: int, close_groups: int) -> np.ndarray:
     return gone
 
 
-def valid_text(kept: Column) -> Column:
-    """The bytes as text, without those of characters that a cut has split."""
+def with_characters(gone: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``gone``, and the other bytes of every UTF-8 character that loses one."""
+    lead = (data & 0xC0) != 0x80
+    lead[offsets[:-1][np.diff(offsets) > 0]] = True
+    character = np.cumsum(lead) - 1
+    return (np.bincount(character, weights=gone) > 0)[character] if len(data) else gone
 
-    @F.pandas_udf("string")
-    def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    return text(kept)
-
-
-def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text", as_text: bool = False) -> DataFrame:
     """Removes every byte of a text that lies in a string of ``length`` bytes that also starts elsewhere.
 
     Elsewhere is any other place of any row, the same row included; overlaps count, and strings are
     judged on the input. Returns all columns of ``docs`` with the text replaced by ``kept binary`` (the
-    bytes that stay), and ``n_bytes, n_removed, n_spans``. Null and empty texts keep nothing. Repeated
+    bytes that stay), and ``n_bytes, n_removed, n_spans``; with ``as_text``, ``kept`` is a string, less the
+    bytes of characters that a cut has split. Null and empty texts keep nothing. Repeated
     rows are places of their own, so rows of ``length`` bytes or more that are equal lose all. An empty
     table gives no rows. A column of ``docs`` that is named like a result is replaced by it.
     """
@@ -240,8 +238,11 @@ def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text")
         heads = s.offsets[:-1][size > 0]
         begins[heads] = gone[heads]
         spans_before = np.concatenate(([0], np.cumsum(begins)))[s.offsets]
-        kept = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept_before.astype(np.int64)), pa.py_buffer(s.data[~gone])]).cast(pa.binary())
+        lost = with_characters(gone, s.data, s.offsets) if as_text else gone
+        raw, ends = s.data[~lost], np.concatenate(([0], np.cumsum(~lost)))[s.offsets]
+        wide, narrow = (pa.large_string(), pa.string()) if as_text else (pa.large_binary(), pa.binary())
+        kept = pa.Array.from_buffers(wide, n, [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(narrow)
         yield pa.RecordBatch.from_arrays([s.rest(), kept, pa.array(size), pa.array(size - np.diff(kept_before)), pa.array(np.diff(spans_before))], names=["row", *names])
 
-    done = over(twice, apply, f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    done = over(twice, apply, f"row {kind}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
     return done.select(*(F.col("row").getField(c).alias(c) for c in others if c not in names), *names)
