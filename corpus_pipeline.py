@@ -45,7 +45,7 @@ def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
-    return packing.pack(docs.select("doc_id", "text"), vocabulary_file())
+    return packing.pack(docs.select("doc_id", "text"), vocabulary_file("byte_bpe_50k.json"))
 
 
 STAGES = [

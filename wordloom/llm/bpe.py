@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,7 +37,10 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    try:
+        cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError as e:
+        raise ValueError("a text is not UTF-8: decode binary columns with their character set before they are cast to string") from e
     if len(cp) == len(data):
         byte_at, doc_at = None, offsets
     else:
@@ -68,15 +72,35 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, np.diff(start, append=len(data)), row
 
 
+def byte_letters() -> dict[str, int]:
+    """Byte-level vocabularies spell a byte as its visible Latin-1 character, the others as U+0100 and up in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Vocabulary:
-    """Ranks of a ``.tiktoken`` file with the tables that merging and decoding need."""
+    """Ranks of a ``.tiktoken`` or ``.json`` file with the tables that merging and decoding need.
+
+    added: tokens of a ``.json`` file that are matched in plain text before it is split, and their ids.
+    """
 
     def __init__(self, path: str):
+        self.added: dict[bytes, int] = {}
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            if path.endswith(".json"):
+                held, letters = json.load(f), byte_letters()
+                plain = all(not t[k] for t in held["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+                if not plain or held["model"]["type"] != "BPE" or held["normalizer"] is not None or held["pre_tokenizer"].get("add_prefix_space"):
+                    raise ValueError(f"{path} is not a plain byte-level BPE")
+                self.added = {t["content"].encode(): t["id"] for t in held["added_tokens"]}
+                self.ranks = {bytes(letters[c] for c in w): i for w, i in held["model"]["vocab"].items() if w.encode() not in self.added}
+            else:
+                self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         size = max(self.ranks.values()) + 1
         words = [b""] * size
-        for w, r in self.ranks.items():
+        words += [b""] * (max(self.added.values(), default=0) + 1 - size)
+        for w, r in (self.ranks | self.added).items():
             words[r] = w
         self.byte_len = np.array([len(w) for w in words], np.int64)
         self.byte_at = np.cumsum(self.byte_len) - self.byte_len
@@ -203,8 +227,11 @@ class Library:
         last = data[start + length - 1]
         head = data[start]
         odd = (last <= 0x20) | ((head <= 0x20) & (head != 0x20)) | (last >= 0xC2) | (head == 0x27)
-        # white space outside ASCII: U+0085, U+00A0, U+1680, U+2000 and above, U+3000
-        odd |= (length <= 4) & ((head == 0xC2) | (head == 0xE1) | (head == 0xE2) | (head == 0xE3))
+        # ends in white space outside ASCII, or nearly: U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000
+        back = [data[np.maximum(start + length - k, start)] for k in (1, 2, 3)]
+        odd |= (back[1] == 0xC2) & ((back[0] == 0x85) | (back[0] == 0xA0))
+        odd |= (back[2] == 0xE1) & (back[1] == 0x9A) | (back[2] == 0xE3) & (back[1] == 0x80) | (back[2] == 0xE2) & ((back[1] == 0x81) | (back[1] == 0x80) & ((back[0] < 0x8B) | (back[0] >= 0xA8)))
+        odd |= np.isin(length, [len(t) for t in self.vocab.added])  # a pretoken can be such a token whole, and nothing else is
         even = np.flatnonzero(~odd)
         total = int(length[even].sum()) + len(even)
         text = np.full(total, 0x0A, np.uint8)
@@ -218,7 +245,8 @@ class Library:
             raise RuntimeError("the pattern joined two pretokens")
         count = np.zeros(len(start), np.int64)
         count[even] = np.diff(feeds, prepend=-1) - 1
-        raw, one = data.tobytes(), self.plain._core_bpe.encode_single_piece
+        raw, added, merged = data.tobytes(), self.vocab.added, self.plain._core_bpe.encode_single_piece
+        one = lambda w: [added[w]] if w in added else merged(w)
         rest = {i: one(raw[a : a + n]) for i, a, n in zip(np.flatnonzero(odd).tolist(), start[odd].tolist(), length[odd].tolist(), strict=True)}
         for i, x in rest.items():
             count[i] = len(x)
@@ -249,11 +277,30 @@ def first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, sample
 
 
-def encode(parts: Iterable[tuple[object, np.ndarray, np.ndarray]], merge: Callable, slice_bytes: int = 4 << 20, most: int = 3_000_000) -> Iterator[tuple[object, int, int, np.ndarray, np.ndarray]]:
+def with_added(data: np.ndarray, offsets: np.ndarray, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``pretokens``, where each added token in the text is one match and what stands around it is split apart."""
+    raw, spans = data.tobytes(), []
+    if added and any(t in raw for t in added):
+        pattern = regex.compile(b"|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)))
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            spans += [(a + m.start(), a + m.end()) for m in pattern.finditer(raw[a:b])]
+    if not spans:
+        return pretokens(data, offsets)
+    at = np.array(spans, np.int64)
+    cuts = np.unique(np.concatenate((offsets, at.ravel())))
+    start, length, _ = pretokens(data, cuts)
+    inside = np.searchsorted(at[:, 0], start, "right") - 1
+    within = (inside >= 0) & (start > at[inside, 0]) & (start < at[inside, 1])
+    start, length = start[~within], length[~within]
+    length[np.searchsorted(start, at[:, 0])] = at[:, 1] - at[:, 0]
+    return start, length, np.searchsorted(start, offsets)
+
+
+def encode(parts: Iterable[tuple[object, np.ndarray, np.ndarray]], merge: Callable, slice_bytes: int = 4 << 20, most: int = 3_000_000, added: dict[bytes, int] | None = None) -> Iterator[tuple[object, int, int, np.ndarray, np.ndarray]]:
     """Encodes texts, each distinct pretoken once per about ``most`` pretokens.
 
     parts: ``(payload, data, offsets)``. merge: from distinct pretokens ``(data, start, length)`` to
-    their ids and counts. Yields ``(payload, lo, hi, ids, at)`` for the rows lo to hi of a part, in order.
+    their ids and counts; added: tokens that are matched in plain text first. Yields ``(payload, lo, hi, ids, at)`` for the rows lo to hi of a part, in order.
     """
     held: list = []
     pieces = 0
@@ -276,7 +323,7 @@ def encode(parts: Iterable[tuple[object, np.ndarray, np.ndarray]], merge: Callab
     for payload, data, offsets in parts:
         for lo, hi in K.slices(offsets, slice_bytes):
             d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            start, length, row = pretokens(d, o)
+            start, length, row = with_added(d, o, added or {})
             h = K.span_hash(d, start, length)
             local, sample = first_of(h)
             s, n = start[sample], length[sample]

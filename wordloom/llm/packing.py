@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
                 if b.num_rows:
                     yield b.column(0), *K.text_buffers(b.column(1))
 
-        for key, lo, hi, ids, at in bpe.encode(parts(), library):
+        for key, lo, hi, ids, at in bpe.encode(parts(), library, added=library.vocab.added):
             total = np.diff(at) + 1
             number = -(-total // capacity)
             row = np.repeat(np.arange(len(total)), number)
@@ -133,7 +133,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens.
 
-    A document is its ids, then ``end_id``; null and empty texts are ``end_id`` alone. Only a longer
+    A document is its ids, then ``end_id``; null and empty texts are ``end_id`` alone. ``vocabulary`` is a
+    tokenizer's ``.json`` file, whose added tokens are matched in plain text as that library does, or a
+    ``.tiktoken`` file, which has none. A text that is not UTF-8 (a cast of other bytes to string can make
+    one) is refused with a ``ValueError``. Only a longer
     document is cut, its first piece taking what full pieces leave. Returns a row per piece:
     ``id_col, piece, start, length, ids_crc32, sequence_id, offset``. Repeated rows and ids are
     documents of their own; columns besides the two named are ignored; an empty table gives no rows.

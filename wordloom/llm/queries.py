@@ -21,7 +21,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(documents(spark, sf_dir), vocabulary_file())
+    return pack(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

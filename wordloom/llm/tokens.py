@@ -29,7 +29,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """Encodes each whole text and decodes its ids again.
 
     Returns ``id_col, ids binary`` (little-endian unsigned 32-bit ids) and ``decoded binary``.
-    Null and empty texts have no ids; repeated rows and ids give a row each; other columns are
+    Added tokens of a ``.json`` vocabulary are plain text here. A text that is not UTF-8 is refused with a
+    ``ValueError``. Null and empty texts have no ids; repeated rows and ids give a row each; other columns are
     ignored whatever their names; an empty table gives no rows.
     """
 
