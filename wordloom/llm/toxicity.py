@@ -2,11 +2,12 @@
 
 Voters are words (lexicon voters) and word beginnings (pattern voters) that toxic training documents
 hold. A generative label model estimates by expectation-maximisation how often each voter fires in
-either class; the correlations that remain between voters within a class discount those that repeat
-each other. A linear classifier is trained on the model's posterior labels and scores every text.
+either class and how voters depend on each other within a class: each voter hangs on at most one other, so
+that the dependences make a forest. The given labels are one more voter, whose accuracy is estimated too.
+A linear classifier is trained on the model's posterior labels and scores every text.
 
 Bounds: voters are mined, the label model and the classifier fitted on at most ``train_rows`` labelled
-documents (taken by a hash of the id, so evenly), with at most ``max_voters`` voters. Scoring reads
+documents (taken by a hash of the id, so evenly), with the ``max_voters`` best rated voters. Scoring reads
 whole texts of all documents in one pass without a shuffle.
 """
 
@@ -62,7 +63,7 @@ class Model:
 
     voters: np.ndarray
     fires: np.ndarray  # by class: how often each voter fires
-    discount: np.ndarray  # 1 for a voter on its own, less the more others repeat it
+    parent: np.ndarray  # the voter that each depends on, -1 for none
     weights: np.ndarray
     bias: float
 
@@ -85,42 +86,75 @@ def votes(data: np.ndarray, offsets: np.ndarray, voters: np.ndarray) -> np.ndarr
     return np.unique(np.concatenate(found))
 
 
-def label_model(fired: np.ndarray, gold: np.ndarray, trust: float = 0.98, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior labels, firing rates by class, and discounts, from votes and the labels as one more voter."""
-    x = fired.astype(np.float64)
-    prior_log = np.log(np.where(gold == 1, trust, 1 - trust)) - np.log(np.where(gold == 1, 1 - trust, trust))
-    p = gold.astype(np.float64)
-    discount = np.ones(x.shape[1])
+def dependences(x: np.ndarray, weight: np.ndarray, fires: np.ndarray, least: float = 0.03) -> np.ndarray:
+    """Each voter's parent in the forest of largest mutual information within the classes; -1 for none.
+
+    A pair is linked if its information is ``least`` of what the less certain of the two could share.
+    """
+    total = weight.sum(axis=1)
+    info, room = np.zeros((x.shape[1],) * 2), np.zeros(x.shape[1])
+    for c in (0, 1):
+        f = fires[c]
+        both = ((x * weight[c][:, None]).T @ x + 0.02 * np.outer(f, f)) / (total[c] + 0.02)
+        share = total[c] / total.sum()
+        room -= share * (f * np.log(f) + (1 - f) * np.log(1 - f))
+        for a in (0, 1):
+            for b in (0, 1):
+                joint = np.maximum({(1, 1): both, (1, 0): f[:, None] - both, (0, 1): f[None, :] - both, (0, 0): 1 - f[:, None] - f[None, :] + both}[a, b], 1e-12)
+                info += share * joint * np.log(joint / np.outer(f if a else 1 - f, f if b else 1 - f))
+    info[np.minimum.outer(room, room) * least > info] = 0
+    parent, best, source = np.full(len(room), -1), np.zeros(len(room)), np.full(len(room), -1)
+    out = np.ones(len(room), bool)
+    for _ in range(len(room)):  # the strongest link from the forest so far, or a new root
+        i = int(np.argmax(np.where(out, best, -1)))
+        out[i], parent[i] = False, source[i]
+        better = out & (info[i] > best)
+        best[better], source[better] = info[i][better], i
+    return parent
+
+
+def label_model(fired: np.ndarray, gold: np.ndarray, times: np.ndarray | None = None, trust: float = 0.98, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior labels, firing rates by class, and each voter's parent, from ballots and how often each comes."""
+    x = fired.astype(np.float32)
+    times = np.ones(len(x)) if times is None else times.astype(np.float64)
+    accuracy = np.array([trust, trust])  # of the given labels, by class
+    p = np.where(gold == 1, trust, 1 - trust)
+    parent = np.full(x.shape[1], -1)
     for step in range(rounds):
-        weight = np.stack((1 - p, p))
+        weight = np.stack((1 - p, p)) * times
         total = weight.sum(axis=1, keepdims=True)
         fires = (weight @ x + 0.02) / (total + 1)
-        if step in (0, rounds // 2):  # correlations within the classes, pooled
-            cov = np.zeros((x.shape[1],) * 2)
-            for c in (0, 1):
-                centred = x - fires[c]
-                cov += (centred * weight[c][:, None]).T @ centred
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            rho = np.clip(cov / sd[:, None] / sd[None, :], 0, 1)
-            np.fill_diagonal(rho, 0)
-            discount = 1 / (1 + np.where(rho > 0.3, rho, 0).sum(axis=1))
+        if step:
+            right = np.array([weight[0][gold == 0].sum(), weight[1][gold == 1].sum()])
+            accuracy = np.clip((right + 10 * trust) / (total[:, 0] + 10), 0.6, 0.995)
+        if step in (1, rounds // 2):
+            parent = dependences(x, weight, fires)
+        root, child = np.flatnonzero(parent < 0), np.flatnonzero(parent >= 0)
         on, off = np.log(fires[1] / fires[0]), np.log((1 - fires[1]) / (1 - fires[0]))
-        share = total[1, 0] / total.sum()
-        logit = np.log(share / (1 - share)) + prior_log + (x * on + (1 - x) * off) @ discount
+        logit = np.log(total[1, 0] / total[0, 0]) + np.where(gold == 1, np.log(accuracy[1] / (1 - accuracy[0])), np.log((1 - accuracy[1]) / accuracy[0]))
+        logit += x[:, root] @ on[root] + (1 - x[:, root]) @ off[root]
+        if len(child):
+            own, above = x[:, child], x[:, parent[child]]
+            both, up = weight @ (own * above), weight @ above
+            base = fires[:, child]
+            if_on, if_off = (both + 2 * base) / (up + 2), (weight @ own - both + 2 * base) / (total - up + 2)
+            if_on, if_off = np.clip(if_on, 1e-6, 1 - 1e-6), np.clip(if_off, 1e-6, 1 - 1e-6)
+            for rate, where in ((if_on, above), (if_off, 1 - above)):
+                logit += (where * own) @ np.log(rate[1] / rate[0]) + (where * (1 - own)) @ np.log((1 - rate[1]) / (1 - rate[0]))
         p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
-    return p, fires, discount
+    return p, fires, parent
 
 
-def linear_classifier(fired: np.ndarray, target: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps."""
+def linear_classifier(fired: np.ndarray, target: np.ndarray, times: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels of ballots that come ``times`` by Newton steps."""
     x = np.column_stack((fired.astype(np.float64), np.ones(len(fired))))
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - target) + penalty * w
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ (times * (p - target)) + penalty * w
+        hess = (x * (times * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         w -= step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -141,47 +175,43 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     share = min(1.0, train_rows / max(1, marked.count()))
     taken = marked.where(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    train = store.put(texts.join(taken, "doc").select("text", "label"), "train")
+    # train_rows bounds the ids taken: a few bytes each
+    train = store.put(texts.join(taken.hint("broadcast" if train_rows <= 1_000_000 else "merge"), "doc").select("text", "label"), "train")
     number = dict(train.groupBy("label").count().collect())
     clean, toxic = number.get(0, 0), number.get(1, 0)
     if not clean or not toxic:
         odds = (toxic + 0.5) / (clean + 0.5) if toxic or clean else 1e-3
-        return Model(np.zeros(0, np.uint64), np.zeros((2, 0)), np.zeros(0), np.zeros(0), float(np.log(odds)))
+        return Model(np.zeros(0, np.uint64), np.zeros((2, 0)), np.zeros(0, int), np.zeros(0), float(np.log(odds)))
     least = max(3, int(min_share * toxic))
 
-    def counted(wanted: np.ndarray | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = K.text_buffers(batch.column(0))
-                for lo, hi in K.slices(offsets, 4 << 20):
-                    d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                    if not len(d):
-                        continue
-                    each = []
-                    for row, h in features(d, o):
-                        if wanted is not None:
-                            keep = np.isin(h, wanted)
-                            row, h = row[keep], h[keep]
-                        order = np.lexsort((row, h))
-                        row, h = row[order], h[order]
-                        new = np.ones(len(h), bool)
-                        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                        each.append(h[new])
-                    h, n = np.unique(np.concatenate(each), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-        return run
-
-    common = train.where("label = 1").select("text").mapInArrow(counted(None), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # a word's share of documents bounds this list: distinct voters of a document / min_share
-    common = common.orderBy(F.desc("n"), "h").limit(50 * max_voters).toPandas()
-    wanted = np.sort(common.h.to_numpy().view(np.uint64))
-    hits = dict(zip(common.h.tolist(), common.n.tolist(), strict=True))
-    misses = dict(train.where("label = 0").select("text").mapInArrow(counted(wanted), "h long, n long").groupBy("h").agg(F.sum("n")).collect())
-    rated = sorted((-a * (r := (a / toxic) / ((misses.get(h, 0) + 0.5) / clean)) / (r + 9), h) for h, a in hits.items() if (a / toxic) / ((misses.get(h, 0) + 0.5) / clean) >= 9)
-    voters = np.sort(np.array([h for _, h in rated[:max_voters]], np.int64).view(np.uint64))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_buffers(batch.column(0))
+            label = batch.column(1).to_numpy()
+            for lo, hi in K.slices(offsets, 4 << 20):
+                d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                if not len(d):
+                    continue
+                mark, found = label[lo:hi].astype(bool), []
+                for row, h in features(d, o):
+                    order = np.lexsort((row, h))
+                    row, h = row[order], h[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                    row, h = row[new], h[new]
+                    value, at = np.unique(h, return_inverse=True)
+                    ones = np.bincount(at, weights=mark[row], minlength=len(value)).astype(np.int64)
+                    found.append((value, ones, np.bincount(at, minlength=len(value)) - ones))
+                h, ones, zeros = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ones), pa.array(zeros)], names=["h", "ones", "zeros"])
+
+    # all candidates are rated; only the voters taken reach the driver
+    rates = train.mapInArrow(counted, "h long, ones long, zeros long").groupBy("h").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).where(F.col("ones") >= least)
+    ratio = (F.col("ones") / toxic) / ((F.col("zeros") + 0.5) / clean)
+    rated = rates.withColumn("ratio", ratio).where("ratio >= 9").orderBy(F.desc(F.col("ones") * F.col("ratio") / (F.col("ratio") + 9)), "h").limit(max_voters)
+    voters = np.sort(rated.toPandas().h.to_numpy().astype(np.int64).view(np.uint64))
     if not len(voters):
-        return Model(voters, np.zeros((2, 0)), np.zeros(0), np.zeros(0), float(np.log(toxic / clean)))
+        return Model(voters, np.zeros((2, 0)), np.zeros(0, int), np.zeros(0), float(np.log(toxic / clean)))
 
     def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,12 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     # equal ballots are counted, not repeated; there are at most train_rows
     rows = train.mapInArrow(ballots, "fired binary, label int").groupBy("fired", "label").count().orderBy("fired", "label").toPandas()
     store.drop()
-    many = rows["count"].to_numpy()
-    unpacked = np.unpackbits(np.frombuffer(b"".join(map(bytes, rows.fired)), np.uint8).reshape(len(rows), -1), axis=1, count=len(voters)).astype(bool)
-    fired, gold = np.repeat(unpacked, many, axis=0), np.repeat(rows.label.to_numpy(), many)
-    posterior, fires, discount = label_model(fired, gold)
-    weights, bias = linear_classifier(fired, posterior)
-    return Model(voters, fires, discount, weights, bias)
+    times, gold = rows["count"].to_numpy(), rows.label.to_numpy()
+    fired = np.unpackbits(np.frombuffer(b"".join(map(bytes, rows.fired)), np.uint8).reshape(len(rows), -1), axis=1, count=len(voters)).astype(bool)
+    posterior, fires, parent = label_model(fired, gold, times)
+    weights, bias = linear_classifier(fired, posterior, times)
+    return Model(voters, fires, parent, weights, bias)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
