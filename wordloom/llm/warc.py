@@ -69,16 +69,19 @@ def resolve_revisits(records: DataFrame, range_rows: int = 50_000) -> DataFrame:
     inside = F.last("full", ignorenulls=True).over(Window.partitionBy("part", "canonical").orderBy("date", "id").rowsBetween(Window.unboundedPreceding, -1))
     ends = dealt.groupBy("canonical", "part").agg(F.max("full").alias("full"))
     carry = ends.select("canonical", "part", F.last("full", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carry")).where("carry IS NOT NULL")
-    asked = dealt.withColumn("inside", inside).where("asks").join(carry, ["canonical", "part"], "left").select("id", F.coalesce("inside", "carry").alias("found"))
-    revisits = kept.where("kind = 'revisit'").select("id", "url", "canonical", F.col("headers").alias("own")).join(store.put(asked, "asked"), "id", "left")
+    asked = dealt.withColumn("inside", inside).where("asks").join(carry.hint("merge"), ["canonical", "part"], "left").select("id", F.coalesce("inside", "carry").alias("found"))
+    revisits = kept.where("kind = 'revisit'").select("id", "url", "canonical", F.col("headers").alias("own")).join(store.put(asked, "asked").hint("merge"), "id", "left")
 
     bare = lambda e: F.regexp_replace(e, r"^\s*[Ww]/", "")
     etag, modified = header(F.col("own"), "etag"), header(F.col("own"), "last-modified")
     same = F.when(etag.isNotNull(), F.coalesce(bare(etag) == bare(F.col("found.etag")), F.lit(False))).otherwise(F.coalesce(modified == F.col("found.modified"), F.lit(False)))
     reason = F.when(F.col("found").isNull(), "no earlier response").when(etag.isNull() & modified.isNull(), "no validator").when(~same, "validator mismatch")
-    judged = revisits.withColumn("reason", reason).withColumn("refers_to", F.when(F.col("reason").isNull(), F.col("found.id")))
+    judged = store.put(revisits.select("id", "url", "canonical", "own", reason.alias("reason"), F.when(reason.isNull(), F.col("found.id")).alias("refers_to")), "judged")
     stored = kept.where(full).select(F.col("id").alias("refers_to"), F.col("headers").alias("stored"), "payload")
-    both = judged.join(stored, "refers_to", "left")
+    # rows that refer to nothing would all meet in one partition of the join
+    both = judged.where("refers_to IS NOT NULL").join(stored.hint("merge"), "refers_to", "left")
     update = F.map_filter("own", lambda k, v: ~k.isin(*FORBIDDEN))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.array_contains(F.map_keys(update), k)), update)
-    return both.select("id", "url", "canonical", "refers_to", F.col("reason").isNull().alias("resolved"), "reason", F.when(F.col("stored").isNull(), F.col("own")).otherwise(merged).alias("headers"), "payload")
+    done = both.select("id", "url", "canonical", "refers_to", F.lit(True).alias("resolved"), "reason", merged.alias("headers"), "payload")
+    rest = judged.where("refers_to IS NULL").select("id", "url", "canonical", "refers_to", F.lit(False).alias("resolved"), "reason", F.col("own").alias("headers"), F.lit(None).cast("string").alias("payload"))
+    return done.unionByName(rest)
