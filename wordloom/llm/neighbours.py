@@ -7,7 +7,7 @@ exact. Parts are read in blocks of bounded size, so one vector repeated without
 and no task holds a part.
 
 Bounds: the graph and the classifier are fitted on at most ``sample_rows`` vectors, taken by a hash of
-their id, and there are at most ``max_parts`` parts; every row is indexed.
+their id; a part needs ``PART_SAMPLE`` of them, which bounds the number of parts. Every row is indexed.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .store import Store
 
 #: Rows of a block of a part, and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+#: Parts at least, and sample vectors that a part needs.
+LEAST_PARTS, PART_SAMPLE = 4, 12
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -179,13 +181,15 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
     return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 6144, part_rows: int = 4096, max_parts: int = 512, goal: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 6144, part_rows: int = 4096, goal: float = 0.97) -> DataFrame:
     """The ``k`` rows of ``vectors`` of largest inner product found for each row of ``queries``.
 
     Returns ``query_id, rank, vec_id, score``; a query is not its own neighbour (rows of its id are not
     candidates). Rows without an id and vectors that are null, empty, zero, or hold null or non-finite
     components take no part, nor do vectors of another length than the commonest (the longest of those).
-    Rows repeated under one id count once each. An empty table gives no rows; other columns are ignored.
+    Rows repeated under one id count once each. The table is always cut into parts, four at least; only where the
+    sample has fewer than 24 different vectors is there nothing to cut. A query whose most probable parts hold
+    too few rows goes on to further parts, so it has ``k`` results if there are as many candidates. An empty table gives no rows; other columns are ignored.
     """
     spark, store = vectors.sparkSession, Store(vectors.sparkSession, "neighbours")
 
@@ -200,37 +204,42 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, total = sizes[0]
     rows, asked = rows.where(F.size("v") == width), sound(queries).where(F.size("v") == width)
-    parts = int(min(max_parts, max(1, -(-total // part_rows))))
     kept = int(min(1.0, sample_rows / total) * (1 << 30))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= kept).dropDuplicates(["v"]).orderBy("id").limit(sample_rows).collect() if parts > 1 else []
-    router = None
-    if len(sample) > 8 * parts:
-        router = fit_router(np.array([r.v for r in sample]), parts, goal)
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= kept).dropDuplicates(["v"]).orderBy("id").limit(sample_rows).collect()
+    parts = max(1, min(max(LEAST_PARTS, -(-total // part_rows)), len(sample) // PART_SAMPLE))
+    router = fit_router(np.array([r.v for r in sample]), parts, goal) if parts > 1 else None
+
+    def routed(counts: np.ndarray | None):
+        """Rows go to their most probable part; queries to ``probes`` parts, and on until these hold ``k`` other rows."""
 
-    def routed(probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
+                n = batch.num_rows
+                if not n:
                     continue
-                if router is None:
-                    part, at = np.zeros(batch.num_rows, np.int32), np.arange(batch.num_rows)
+                order = np.zeros((n, 1), np.int64) if router is None else np.argsort(-router.logits(floats(batch.column(1), width)), axis=1, kind="stable")
+                if counts is None:
+                    part, at = order[:, 0], np.arange(n)
                 else:
-                    logits = router.logits(floats(batch.column(1), width))
-                    part = np.argsort(-logits, axis=1, kind="stable")[:, :probes].astype(np.int32).ravel()
-                    at = np.repeat(np.arange(batch.num_rows), min(probes, logits.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(part)], names=["id", "v", "part"])
+                    before = np.cumsum(counts[order], axis=1) - counts[order]
+                    use = (np.arange(order.shape[1]) < (router.probes if router else 1)) | (before <= k)
+                    part, at = order[use], np.repeat(np.arange(n), use.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(part.astype(np.int32))], names=["id", "v", "part"])
 
         return run
 
     kind = "id long, v array<double>, part int"
-    index = store.put(rows.mapInArrow(routed(1), kind), "index")
-    probes = store.put(asked.mapInArrow(routed(router.probes if router else 1), kind), "probes")
+    index = store.put(rows.mapInArrow(routed(None), kind), "index")
+    held = np.zeros(parts, np.int64)
+    for part, n in index.groupBy("part").count().collect():  # a row for each part
+        held[part] = n
+    probes = store.put(asked.mapInArrow(routed(held), kind), "probes")
     # blocks of a part: as many as its own counts ask for (a row per part)
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
     split = blocks(index, BLOCK_ROWS, "row_blocks").join(blocks(probes, BLOCK_QUERIES, "query_blocks"), "part")
-    plan = F.broadcast(split)  # at most max_parts rows
+    plan = F.broadcast(split)  # at most sample_rows / PART_SAMPLE rows
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = index.join(plan, "part").select("part", block("row_blocks").alias("rb"), every("query_blocks").alias("qb"), "id", "v")
