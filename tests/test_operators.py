@@ -61,7 +61,8 @@ def test_stemmer(word, want):
 def test_giant_component_and_reach(spark):
     edges = frame(spark, [("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("c", "d", 1), ("d", "e", 1), ("e", "d", 1), ("x", "x", 1)], "cue string, resp string, w int")
     assert got(G.giant_component(edges)) == [("a", 0), ("b", 1), ("c", 2)]
-    assert G.giant_component(edges.where("cue = 'x'")).count() == 0
+    assert got(G.giant_component(edges.where("cue = 'x'"))) == [("x", 0)]  # a vertex alone is a component
+    assert G.giant_component(edges.limit(0)).count() == 0
     assert got(G.drop_sinks(frame(spark, [("a", "b", 1), ("b", "c", 1)], "cue string, resp string, w int")).select("cue", "resp")) == [("a", "b")]
 
 
@@ -76,7 +77,7 @@ def test_communities_beat_one_and_singletons(spark):
 
 def test_paths_keep_the_cheapest_and_identity(spark):
     e = G.normalise(frame(spark, [("a", "b", 1), ("a", "c", 9), ("c", "b", 10)], "cue string, resp string, w int"))
-    best = {r.dst: 10 ** -r.cost for r in G.path_costs(frame(spark, [("a",)], "v string"), e, 2).collect()}
+    best = {r.dst: 10 ** -r.cost for r in G.path_costs(frame(spark, [("a",)], "v string"), e).collect()}
     assert math.isclose(best["a"], 1) and math.isclose(best["b"], 0.9) and math.isclose(best["c"], 0.9)
 
 
@@ -125,3 +126,99 @@ def test_holdout_is_the_same_for_any_layout(spark):
     rows = spark.range(500)
     a, b = (S.holdout(r, 0.2, F.col("id").cast("string"), 3).where("test").select("id") for r in (rows, rows.repartition(7)))
     assert got(a) == got(b) and 60 < a.count() < 140
+
+
+def test_anchor_search_keeps_repeats_of_words_that_stay(spark):
+    from pyspark.sql import functions as F
+
+    from wordloom.operators import anchors as A
+
+    words = frame(spark, [(1, ["the", "aa", "the", "bbbb", "the", "cc"])], "doc int, words array<string>")
+    cands = frame(spark, [(1, 1, "x", ["aa"]), (1, 3, "y", ["bbbb"])], "doc int, at int, cand string, words array<string>")
+    length = lambda df: df.select("doc", "variant", F.aggregate("words", F.lit(0.0), lambda s, w: s + F.length(w)).alias("score"))
+    assert [(r.anchors, r.drop) for r in A.search(words, cands, length, (2, 2)).collect()] == [(["aa", "bbbb"], 6.0)]
+
+
+def test_enumerated_leaves(spark):
+    from wordloom.operators import anchors as A
+
+    leaves = frame(spark, [(1, 0, 0, "a", "D"), (1, 0, 1, "b", "N"), (1, 1, 0, "c", "V"), (1, 1, 1, "b", "N")], "doc int, sent int, leaf int, w string, tag string")
+    kept = frame(spark, [(1, "b", "N"), (1, "c", "V"), (2, "a", "D")], "doc int, w string, tag string")
+    assert [r.label for r in A.enumerate_leaves(leaves, kept).orderBy("idx").collect()] == ["-1 0 a", "0 1 b", "1 2 c", "2 3 b"]
+
+
+def test_interlace():
+    assert P.interlace(list("abcdef"), list("uvwxyz")) == ["a", "b", "c", "u", "v", "w", "d", "e", "f", "x", "y", "z"]
+    with pytest.raises(ValueError):
+        P.interlace(["a"], ["b"])
+
+
+def test_nearest_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    vectors = {i: {k: float(rng.randint(1, 3)) for k in rng.sample("abcdefgh", rng.randint(1, 2))} for i in range(30)}
+    rows = frame(spark, [(i, k, x) for i, v in vectors.items() for k, x in v.items()], "id int, key string, x double")
+    found = {}
+    for r in P.nearest(rows.where("id < 9"), rows, 6).collect():
+        found.setdefault(r.q, []).append((r["rank"], r.r))
+    for q in range(9):
+        d = sorted((sum((vectors[q].get(k, 0) - v.get(k, 0)) ** 2 for k in {*vectors[q], *v}), i) for i, v in vectors.items())
+        assert [i for _, i in sorted(found[q])] == [i for _, i in d[:6]]
+
+
+def test_strong_components_equal_mutual_reach(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(45)}
+    reach = {v: {v} for v in range(25)}
+    for _ in range(25):
+        for a, b in edges:
+            for v in reach:
+                if a in reach[v]:
+                    reach[v].add(b)
+    rows = G.strong_components(frame(spark, [(f"{a:02}", f"{b:02}") for a, b in edges], "cue string, resp string")).collect()
+    part = {int(r.v): int(r.component) for r in rows}
+    assert set(part) == {v for e in edges for v in e}
+    assert all((part[a] == part[b]) == (b in reach[a] and a in reach[b]) for a in part for b in part)
+
+
+def test_katz_equals_the_inverse(spark):
+    import numpy as np
+
+    e = G.l1(frame(spark, [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "a", 1.0)], "cue string, resp string, w double"))
+    p = np.zeros((3, 3))
+    for r in e.collect():
+        p["abc".index(r.cue), "abc".index(r.resp)] = r.w
+    want = np.linalg.inv(np.eye(3) - 0.75 * p)
+    for r in G.katz(e, 0.75).collect():
+        assert abs(want["abc".index(r.cue), "abc".index(r.resp)] - r.w) < 1e-8
+
+
+def test_paths_go_to_the_end(spark):
+    e = G.normalise(frame(spark, [(f"v{i}", f"v{i + 1}", 1) for i in range(7)] + [("v0", "far", 1)], "cue string, resp string, w int"))
+    costs = {r.dst: r for r in G.path_costs(frame(spark, [("v0",)], "v string"), e).collect()}
+    assert costs["v7"].hops == 7 and abs(10 ** -costs["v7"].cost - 0.5) < 1e-9
+    got = {(r.s, r.t): r.strength for r in G.path_strengths(frame(spark, [("V0", "v7"), ("v7", "v0"), ("v3", "v3"), ("no", "no")], "s string, t string"), e).collect()}
+    assert abs(got["V0", "V7"] - 0.5) < 1e-9 and got["V7", "V0"] == 0 and got["V3", "V3"] == 1 and got["NO", "NO"] == 0
+
+
+def test_louvain_levels(spark):
+    cliques = [(f"{c}{i}", f"{c}{j}", 1) for c in "abcd" for i in range(4) for j in range(i)] + [("a0", "b0", 1), ("c0", "d0", 1), ("b1", "c1", 1)]
+    rows = G.louvain(frame(spark, cliques, "a string, b string, n int")).collect()
+    top = max(r.level for r in rows)
+    for level in range(top + 1):
+        here = {r.v: r.community for r in rows if r.level == level}
+        assert len(here) == 16
+    assert len({r.community for r in rows if r.level == top}) <= 4
+
+
+def test_suite_refuses_missing_models_and_wrong_widths(spark):
+    one = lambda: frame(spark, [(1, 2.0)], "doc long, x double")
+    suite = U.Suite("doc", {"a": one, "b": one}, needs={"b": ["m"]}, dims={"a": 2})
+    with pytest.raises(ValueError, match="missing"):
+        suite.choose(["b"])
+    assert suite.choose(["a", "nope"]) == ["a"]
+    with pytest.raises(ValueError, match="columns"):
+        suite(frame(spark, [(1,)], "doc long"), ["a"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Part-of-speech prefixes of the treebank tag set and their one-letter classes (fixed values).
@@ -85,3 +85,21 @@ def n_grams(words: Column, n: int) -> Column:
     number = F.size(words) - n + 1
     grams = F.transform(F.sequence(F.lit(1), number), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(number >= 1, grams).otherwise(F.array().cast("array<string>"))
+
+
+def sentence_words(docs: DataFrame) -> DataFrame:
+    """``doc, sent, i, w`` of ``doc, text``: lower-case words by sentence."""
+    sent = docs.select("doc", F.posexplode(F.split(F.lower("text"), "[.!?]+")).alias("sent", "s"))
+    return sent.select("doc", "sent", F.posexplode(tokens(F.col("s"))).alias("i", "w"))
+
+
+def tagged(words: DataFrame, tags: DataFrame) -> DataFrame:
+    """Words with the tag of a table ``w, tag``, which a tagger makes for all distinct words at once; others have none."""
+    return words.join(tags, "w", "left")
+
+
+def regrouped(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """``doc, tokens array<struct<w, tag>>`` in order of sentence and place; empty for documents without words."""
+    found = words.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("sent", "i", "w", "tag"))).alias("t"))
+    none = F.array().cast("array<struct<w:string,tag:string>>")
+    return docs.select("doc").join(found, "doc", "left").select("doc", F.coalesce(F.transform("t", lambda x: F.struct(x["w"].alias("w"), x["tag"].alias("tag"))), none).alias("tokens"))

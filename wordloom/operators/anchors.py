@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,7 +23,8 @@ def search(texts: DataFrame, cands: DataFrame, score: Callable[[DataFrame], Data
     """``doc, anchors, baseline, drop``: the set of candidates whose removal lowers the score most.
 
     texts: ``doc, words``; score: from ``doc, variant, words`` to ``doc, variant, score``. Sets have sizes
-    in the range; a document with fewer candidates has all its words as its anchor. Ties go to the first set.
+    in the range; a document with fewer candidates has all its words as its anchor. A word that is removed goes
+    wherever it stands; repeats of the words that stay remain. Ties go to the first set.
     """
     c = cands.select("doc", F.struct("at", "cand", "words").alias("c"))
     combos, level = None, c.select("doc", F.array("c").alias("set"))
@@ -32,9 +33,23 @@ def search(texts: DataFrame, cands: DataFrame, score: Callable[[DataFrame], Data
         if n >= sizes[0]:
             combos = level if combos is None else combos.unionByName(level)
     keyed = combos.select("doc", F.array_join(F.transform("set", lambda x: x["cand"]), "+").alias("variant"), F.flatten(F.transform("set", lambda x: x["words"])).alias("gone"))
-    removed = keyed.join(texts, "doc").select("doc", "variant", F.array_except("words", "gone").alias("words"))
+    removed = keyed.join(texts, "doc").select("doc", "variant", F.filter("words", lambda w: ~F.array_contains("gone", w)).alias("words"))
     base = score(texts.select("doc", F.lit("").alias("variant"), "words")).select("doc", F.col("score").alias("baseline"))
     scored = score(removed).join(base, "doc").withColumn("drop", F.col("baseline") - F.col("score"))
     best = scored.groupBy("doc").agg(F.min(F.struct((-F.col("drop")).alias("d"), "variant")).alias("m"))
     found = best.join(keyed, (best.doc == keyed.doc) & (F.col("m.variant") == F.col("variant"))).select(best.doc, F.col("gone").alias("anchors"), (-F.col("m.d")).alias("drop"))
     return texts.join(base, "doc").join(found, "doc", "left").select("doc", F.coalesce("anchors", "words").alias("anchors"), "baseline", F.coalesce("drop", F.lit(0.0)).alias("drop"))
+
+
+def enumerate_leaves(leaves: DataFrame, kept: DataFrame) -> DataFrame:
+    """Numbers the leaves of parse trees: ``doc, sent, leaf, w, tag, idx, place, label``.
+
+    leaves: ``doc, sent, leaf, w, tag`` of parsed sentences; kept: the tokens ``doc, w, tag`` that a document has
+    after its own tokenising. ``idx`` counts the document's leaves from 0 across sentences, ``place`` those that
+    are kept, -1 for others; ``label`` is ``place idx w``.
+    """
+    held = kept.select("doc", "w", "tag").distinct().withColumn("_held", F.lit(1))
+    order = Window.partitionBy("doc").orderBy("sent", "leaf")
+    rows = leaves.join(held, ["doc", "w", "tag"], "left").withColumn("idx", F.row_number().over(order) - 1)
+    place = F.when(F.col("_held").isNull(), -1).otherwise(F.count("_held").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")
+    return rows.withColumn("place", place).select("doc", "sent", "leaf", "w", "tag", "idx", "place", F.concat_ws(" ", "place", "idx", "w").alias("label"))

@@ -12,11 +12,12 @@ def chains(docs: DataFrame, words: DataFrame, prons: DataFrame) -> DataFrame:
     A key is a first phoneme, or the last vowel phoneme with its stress (the first phoneme without
     vowels); a word counts once for each of its keys, and a chain needs two words.
     """
-    keyed = words.join(prons, "w").select("doc", "pos", F.explode("prons").alias("p"))
+    said = prons.select("w", F.explode("prons").alias("p"))
     vowels = F.filter("p", lambda x: x.rlike("^[AEIOU]"))
     rhyme = F.when(F.size(vowels) > 0, F.element_at(vowels, -1)).otherwise(F.element_at("p", 1))
-    both = keyed.select("doc", "pos", F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.element_at("p", 1).alias("key")), F.struct(F.lit("r").alias("kind"), rhyme.alias("key")))).alias("k")).select("doc", "pos", "k.*").distinct()
-    size = both.groupBy("doc", "kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # keys of distinct words; texts bring a row for each of their words, not for each place
+    keys = said.select("w", F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.element_at("p", 1).alias("key")), F.struct(F.lit("r").alias("kind"), rhyme.alias("key")))).alias("k")).select("w", "k.*").distinct()
+    size = words.groupBy("doc", "w").agg(F.count("*").alias("n")).join(keys, "w").groupBy("doc", "kind", "key").agg(F.sum("n").alias("n")).where("n > 1")
     cell = lambda kind, g: F.coalesce(g(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).cast("long")
     found = size.groupBy("doc").agg(cell("a", F.count).alias("alliterations"), cell("a", F.max).alias("longest_alliteration"), cell("r", F.count).alias("rhymes"), cell("r", F.max).alias("longest_rhyme"))
     return docs.join(found, "doc", "left").fillna(0)

@@ -24,9 +24,12 @@ def naive_bayes(train: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFr
     total = train.groupBy("label").agg(F.sum("n").alias("t"))
     count = train.groupBy("label", "w").agg(F.sum("n").alias("c"))
     known = test.join(kinds, "w", "left_semi")
-    scored = known.join(F.broadcast(total.crossJoin(size)), how="cross").join(count, ["label", "w"], "left")
-    part = scored.groupBy("doc", "label").agg(F.sum(F.col("n") * F.ln((F.coalesce("c", F.lit(0)) + alpha) / (F.col("t") + alpha * F.col("v")))).alias("s"))
-    every = test.select("doc").distinct().join(F.broadcast(prior), how="cross").join(part, ["doc", "label"], "left")
+    # a word that a label never had adds ln(alpha) less the label's size: that is taken for all words, and made up for where it had it
+    seen = known.join(count, "w").groupBy("doc", "label").agg(F.sum(F.col("n") * (F.ln(F.col("c") + alpha) - F.ln(F.lit(alpha)))).alias("s"))
+    length = known.groupBy("doc").agg(F.sum("n").alias("length"))
+    label = prior.join(total, "label").crossJoin(size).select("label", "prior", (F.ln(F.lit(alpha)) - F.ln(F.col("t") + alpha * F.col("v"))).alias("none"))
+    every = test.select("doc").distinct().join(length, "doc", "left").crossJoin(F.broadcast(label)).join(seen, ["doc", "label"], "left")
+    every = every.withColumn("s", F.coalesce("s", F.lit(0.0)) + F.coalesce("length", F.lit(0)) * F.col("none"))
     score = F.round(F.col("prior") + F.coalesce("s", F.lit(0.0)), 9)
     return every.groupBy("doc").agg(F.max_by("label", F.struct(score, -F.col("label"))).alias("label"))
 

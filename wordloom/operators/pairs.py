@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import tokens
+from .lineage import cut
+from .ranking import numbered
 
 
 def explode_tokens(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -21,10 +23,15 @@ def word_pairs(words: DataFrame) -> DataFrame:
     """``doc, w1, w2, times``: pairs of places i < j, alike pairs counted rather than repeated.
 
     A pair of words occurs as often as places of one precede places of the other; since scores depend on
-    the words alone, that count stands for the pairs.
+    the words alone, that count stands for the pairs. A document's words meet once each, with their places in
+    order, so rows grow with its distinct words.
     """
-    a, b = words.select("doc", F.col("pos").alias("i"), F.col("w").alias("w1")), words.select("doc", F.col("pos").alias("j"), F.col("w").alias("w2"))
-    return a.join(b, "doc").where("i < j").groupBy("doc", "w1", "w2").agg(F.count("*").alias("times"))
+    places = words.groupBy("doc", "w").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    a, b = places.select("doc", F.col("w").alias("w1"), F.col("p").alias("p1")), places.select("doc", F.col("w").alias("w2"), F.col("p").alias("p2"))
+    before = F.aggregate("p2", F.lit(0).cast("long"), lambda n, j: n + F.size(F.filter("p1", lambda i: i < j)))
+    lone = (F.size("p1") == 1) & (F.size("p2") == 1)
+    times = F.when(lone, (F.col("p1")[0] < F.col("p2")[0]).cast("long")).otherwise(before)
+    return a.join(b, "doc").where(F.col("p1")[0] < F.element_at("p2", -1)).select("doc", "w1", "w2", times.alias("times"))
 
 
 def vector_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -125,11 +132,87 @@ def difference_features(left: DataFrame, right: DataFrame, keep: Column | None =
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of all rows to each of a stated set of queries, over sparse ``id, key, x``; ties to smaller ids.
 
-    Squared distances come from norms and a join on shared keys, so only shared keys are multiplied.
+    Squared distances come from norms and a join on shared keys. Rows that share no key with a query differ in
+    their norm alone, so of them only the smallest by norm can be near: as many as it needs to pass those that
+    do share a key. Nothing is multiplied out.
     """
     norm = lambda d: d.groupBy("id").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
-    q, r = norm(queries).select(F.col("id").alias("q"), F.col("s").alias("sq")), norm(rows).select(F.col("id").alias("r"), F.col("s").alias("sr"))
+    q = norm(queries).select(F.col("id").alias("q"), F.col("s").alias("sq"))
+    r = numbered(norm(rows).select(F.col("id").alias("r"), F.col("s").alias("sr")), F.round("sr", 9), "r", name="place")
     dots = queries.select(F.col("id").alias("q"), "key", F.col("x").alias("a")).join(rows.select(F.col("id").alias("r"), "key", F.col("x").alias("b")), "key").groupBy("q", "r").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
-    every = q.crossJoin(r).join(dots, ["q", "r"], "left").select("q", "r", (F.col("sq") + F.col("sr") - 2 * F.coalesce("ab", F.lit(0.0))).alias("d2"))
+    shared = cut(dots)
+    few = q.join(shared.groupBy("q").agg(F.count("*").alias("n")), "q", "left").select("q", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(0)) + k)).alias("place"))
+    lone = few.join(r, "place").join(shared, ["q", "r"], "left_anti").select("q", "r", F.lit(0.0).alias("ab"))
+    every = shared.unionByName(lone).join(q, "q").join(r, "r").select("q", "r", (F.col("sq") + F.col("sr") - 2 * F.col("ab")).alias("d2"))
     order = Window.partitionBy("q").orderBy(F.round("d2", 9), "r")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def interlace(a: list[str], b: list[str], block: int = 3) -> list[str]:
+    """Columns of two equally wide matrices in blocks in turn: a block of the first, one of the second, and so on."""
+    if len(a) != len(b) or len(a) % block:
+        raise ValueError("both sides need the same number of whole blocks")
+    return [c for i in range(0, len(a), block) for side in (a, b) for c in side[i : i + block]]
+
+
+def cross_senses(pairs: DataFrame, senses: DataFrame) -> DataFrame:
+    """``pair, s1, s2``: every sense of ``stim`` with every sense of ``resp``, senses being ``w, s``."""
+    one = pairs.join(senses.select(F.col("w").alias("stim"), F.col("s").alias("s1")), "stim")
+    return one.join(senses.select(F.col("w").alias("resp"), F.col("s").alias("s2")), "resp").select("pair", "s1", "s2")
+
+
+def best_and_mean(pairs: DataFrame, scored: DataFrame, names: list[str]) -> DataFrame:
+    """``pair`` and, for each score of ``pair, s1, s2``, its largest and mean; 0 without a pair of senses."""
+    found = scored.groupBy("pair").agg(*(g(c).alias(f"{c}_{n}") for c in names for n, g in (("max", F.max), ("avg", F.avg))))
+    return pairs.select("pair").join(found, "pair", "left").fillna(0.0)
+
+
+def sense_products(pairs: DataFrame, senses: DataFrame) -> DataFrame:
+    """Largest and mean cosine over the cross product of the sides' sense vectors (``w, s, v``); 0 if a side has none."""
+    v = senses.select("s", "v").dropDuplicates(["s"])
+    met = cross_senses(pairs, senses)
+    sims = met.select("s1", "s2").distinct().join(v.select(F.col("s").alias("s1"), F.col("v").alias("a")), "s1").join(v.select(F.col("s").alias("s2"), F.col("v").alias("b")), "s2").select("s1", "s2", V.cosine(F.col("a"), F.col("b")).alias("sim"))
+    return best_and_mean(pairs, met.join(sims, ["s1", "s2"]), ["sim"])
+
+
+def table_scores(pairs: DataFrame, senses: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Largest and mean score of a table ``s1, s2, score`` made elsewhere, over the sides' senses; missing ones are 0.
+
+    The hook for measures of other tools, such as overlaps of glosses.
+    """
+    scored = cross_senses(pairs, senses).join(table, ["s1", "s2"], "left").select("pair", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias(name))
+    return best_and_mean(pairs, scored, [name])
+
+
+def centralities(pairs: DataFrame, senses: DataFrame, centrality: DataFrame, name: str) -> DataFrame:
+    """Largest, mean and total of ``s, c`` over the senses of either side; senses that are not in the table count 0."""
+    by_word = senses.select("w", "s").join(centrality, "s", "left").groupBy("w").agg(*(g(F.coalesce("c", F.lit(0.0))).alias(n) for n, g in (("max", F.max), ("avg", F.avg), ("total", F.sum))))
+    out = pairs.select("pair", "stim", "resp")
+    for side in ("stim", "resp"):
+        out = out.join(by_word.select(F.col("w").alias(side), *(F.col(n).alias(f"{name}_{side}_{n}") for n in ("max", "avg", "total"))), side, "left")
+    return out.drop("stim", "resp").fillna(0.0)
+
+
+def lex_vectors(pairs: DataFrame, senses: DataFrame, pos: list[str], lexnames: list[str]) -> DataFrame:
+    """Counts of the senses ``w, s, pos, lexname`` of either side by part of speech and by lexicographer file."""
+    count = lambda c, v: F.count_if(F.col(c) == v)
+    cells = {f"pos_{p}": count("pos", p) for p in pos} | {f"lex_{x}": count("lexname", x) for x in lexnames}
+    by_word = senses.groupBy("w").agg(*(c.alias(n) for n, c in cells.items()))
+    out = pairs.select("pair", "stim", "resp")
+    for side in ("stim", "resp"):
+        out = out.join(by_word.select(F.col("w").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in cells)), side, "left")
+    return out.drop("stim", "resp").fillna(0)
+
+
+def pair_offsets(pairs: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """Cosine of the sides' vectors (``w, v``) and the components of their difference; zeros where one is missing."""
+    one = pairs.join(vectors.select(F.col("w").alias("stim"), F.col("v").alias("a")), "stim", "left")
+    both = one.join(vectors.select(F.col("w").alias("resp"), F.col("v").alias("b")), "resp", "left")
+    d = V.offset(F.col("a"), F.col("b"))
+    return both.select("pair", V.cosine(F.col("a"), F.col("b")).alias("sim"), *(F.coalesce(d[i], F.lit(0.0)).alias(f"d{i}") for i in range(size)))
+
+
+def pair_features(docs: DataFrame, pairs: DataFrame, scores: DataFrame, prefix: str) -> DataFrame:
+    """``interword`` for pairs that are made already (within or between anchors), columns named by the prefix."""
+    counted = pairs.groupBy("doc", "w1", "w2").agg(F.count("*").alias("times"))
+    return interword(docs, counted, scores).select("doc", *(F.col(c).alias(f"{prefix}_{c}") for c in ("lo", "mid", "hi")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import RANGE_ROWS, numbered
+
 
 def sequential_sigma(rows: DataFrame, columns: list[str], sigmas: float = 3.0) -> DataFrame:
     """Keeps rows within so many sample deviations of the mean, one column after another on what is left."""
@@ -38,9 +40,14 @@ def wilcoxon(differences: DataFrame, by: list[str]) -> DataFrame:
 
 def holm(rows: DataFrame, p: str, key: str) -> DataFrame:
     """Step-down adjusted p-values."""
-    w = Window.orderBy(p, key)
-    ranked = rows.withColumn("_r", F.row_number().over(w)).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_m"))))
-    return ranked.withColumn("adjusted", F.max(F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(p))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m")
+    ranked = numbered(rows, p, key, name="_r").crossJoin(F.broadcast(rows.agg(F.count("*").alias("_m"))))
+    step = F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(p))
+    # a running maximum over blocks of ranks, and over the blocks' own maxima
+    blocks = ranked.withColumn("_step", step).withColumn("_block", F.floor(F.col("_r") / RANGE_ROWS))
+    top = blocks.groupBy("_block").agg(F.max("_step").alias("_top"))
+    before = top.select("_block", F.max("_top").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row per block
+    inside = F.max("_step").over(Window.partitionBy("_block").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+    return blocks.withColumn("_inside", inside).join(F.broadcast(before), "_block").withColumn("adjusted", F.greatest("_inside", "_before")).drop("_r", "_m", "_step", "_block", "_before", "_inside")
 
 
 def t_statistics(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,11 +80,28 @@ def class_report(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 def k_folds(rows: DataFrame, k: int, order: str) -> DataFrame:
     """Contiguous folds in order; the first ``n mod k`` have one row more."""
-    n = F.count("*").over(Window.partitionBy())
-    i = F.row_number().over(Window.orderBy(order)) - 1
+    total = rows.count()
+    rows = numbered(rows, order, name="_i", first=0)
+    n, i = F.lit(total), F.col("_i")
     base, extra = F.floor(n / k), n % k
     fold = F.when(i < extra * (base + 1), F.floor(i / (base + 1))).otherwise(extra + F.floor((i - extra * (base + 1)) / F.greatest(base, F.lit(1))))
-    return rows.withColumn("fold", fold.cast("int"))
+    return rows.withColumn("fold", fold.cast("int")).drop("_i")
+
+
+def ordered_slice(rows: DataFrame, start: int, stop: int, *order) -> DataFrame:
+    """The rows from place ``start`` (from 0) up to ``stop`` in a total order."""
+    return numbered(rows, *order, name="_i", first=0).where((F.col("_i") >= start) & (F.col("_i") < stop)).drop("_i")
+
+
+def regression_metrics(rows: DataFrame, truth: str, guess: str, small: float = 1e-7) -> DataFrame:
+    """Coefficient of determination and Pearson correlation as a training metric reports them.
+
+    The sum of squares about the mean is kept off zero by ``small``; a correlation of constants is 0.
+    """
+    mean = rows.agg(F.avg(truth).alias("_m"))
+    d = rows.crossJoin(F.broadcast(mean))
+    rest, about = F.sum(F.pow(F.col(truth) - F.col(guess), 2)), F.sum(F.pow(F.col(truth) - F.col("_m"), 2))
+    return d.agg((1 - rest / (about + small)).alias("r2"), F.coalesce(F.nanvl(F.corr(truth, guess), F.lit(0.0)), F.lit(0.0)).alias("pearson"))
 
 
 def stratified_folds(rows: DataFrame, k: int, label: str, order: str) -> DataFrame:
@@ -94,4 +118,4 @@ def centroid_rank(vectors: DataFrame) -> DataFrame:
     long = vectors.select("id", F.posexplode("v").alias("i", "x"))
     mean = long.groupBy("i").agg(F.avg("x").alias("m"))
     d = long.join(F.broadcast(mean), "i").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("m"), 2))).alias("distance"))
-    return d.withColumn("rank", F.row_number().over(Window.orderBy(F.round("distance", 9), "id")))
+    return numbered(d, F.round("distance", 9), "id", name="rank").withColumn("rank", F.col("rank").cast("int"))

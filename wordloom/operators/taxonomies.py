@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
-def ancestors(edges: DataFrame, depth: int) -> DataFrame:
+
+def ancestors(edges: DataFrame) -> DataFrame:
     """``node, anc, d``: least number of steps up from every node to each ancestor, itself at 0.
 
-    depth: the number of levels, which bounds the rounds.
+    Each round goes one level up from what the last one found first, until there is nothing new.
     """
     nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
-    level = found = nodes.select("node", F.col("node").alias("anc"), F.lit(0).alias("d"))
-    for _ in range(depth):
-        level = level.join(edges.withColumnRenamed("child", "anc"), "anc").select("node", F.col("parent").alias("anc"), (F.col("d") + 1).alias("d"))
-        found = found.unionByName(level)
-    return found.groupBy("node", "anc").agg(F.min("d").alias("d"))
+    level = found = cut(nodes.select("node", F.col("node").alias("anc"), F.lit(0).alias("d")))
+    up = edges.select(F.col("child").alias("anc"), "parent").distinct()
+    while True:
+        level = cut(level.join(up, "anc").select("node", F.col("parent").alias("anc"), (F.col("d") + 1).alias("d")).distinct().join(found, ["node", "anc"], "left_anti"))
+        if not level.limit(1).count():
+            return found
+        found = cut(found.unionByName(level))
+
+
+def rooted(edges: DataFrame, root: str = "*") -> DataFrame:
+    """Edges with a root above all nodes that have no parent, so that any two nodes meet."""
+    tops = edges.select(F.col("parent").alias("child")).distinct().join(edges.select("child"), "child", "left_anti")
+    return edges.select("child", "parent").unionByName(tops.select("child", F.lit(root).alias("parent")))
 
 
 def common(pairs: DataFrame, closure: DataFrame) -> DataFrame:

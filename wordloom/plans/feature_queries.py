@@ -151,12 +151,16 @@ def c15(spark, sf):
     return P.setup_punch_pairs(a).groupBy("doc", "kind").agg(F.count("*").alias("n"))
 
 
-@query("c16_interlace", "SELECT c_custkey, c_acctbal AS x0, CAST(c_nationkey AS DOUBLE) AS x1, c_acctbal * 2 AS x2, c_nationkey * CAST(2 AS DOUBLE) AS x3 FROM customer")
+_side = lambda c: "one" if c.startswith("a_") else "two"
+_twenty_four = P.interlace([f"a_{c.split(' AS ')[1]}" for c in _twelve], [f"b_{c.split(' AS ')[1]}" for c in _twelve])
+
+
+@query("c16_interlace", f"WITH one AS ({_ASSOC} SELECT item_id AS doc, {', '.join(_twelve)} FROM benchmark LEFT JOIN s ON doc = item_id GROUP BY item_id), two AS (SELECT doc, {', '.join(f'round({c} + 1, 6) AS {c}' for c in [x.split(' AS ')[1] for x in _twelve])} FROM one) SELECT one.doc, {', '.join(f'{_side(c)}.{c[2:]} AS x{i}' for i, c in enumerate(_twenty_four))} FROM one JOIN two USING (doc)")
 def c16(spark, sf):
-    c = X.table(spark, sf, "customer")
-    a, b = F.array(F.col("c_acctbal"), F.col("c_acctbal") * 2), F.array(F.col("c_nationkey").cast("double"), F.col("c_nationkey") * 2.0)
-    both = F.flatten(F.zip_with(a, b, lambda x, y: F.array(x, y)))
-    return c.select("c_custkey", both.alias("v")).select("c_custkey", *(F.col("v")[i].alias(f"x{i}") for i in range(4)))
+    one = c11(spark, sf)
+    names = [c for c in one.columns if c != "doc"]
+    both = one.select("doc", *(F.col(c).alias(f"a_{c}") for c in names), *(F.round(F.col(c) + 1, 6).alias(f"b_{c}") for c in names))
+    return both.select("doc", *(F.col(c).alias(f"x{i}") for i, c in enumerate(P.interlace([f"a_{c}" for c in names], [f"b_{c}" for c in names]))))
 
 
 _REL = "rel AS (SELECT w1, w2, rel, count(*) AS cnt FROM (SELECT w AS w1, lead(w) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS w2, role AS rel FROM (SELECT conv_id, turn, role, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations))) WHERE w2 IS NOT NULL GROUP BY 1, 2, 3)"
@@ -315,11 +319,10 @@ def e05(spark, sf):
 
 @query("e08_positional_zip", "SELECT a.i, n_name, r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) a JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region) b USING (i)")
 def e08(spark, sf):
-    from pyspark.sql import Window
-
+    from ..operators.ranking import numbered
     from ..sources import lines as S
 
-    no = lambda t, k, c: X.table(spark, sf, t).select(F.lit("f").alias("file"), (F.row_number().over(Window.orderBy(k)).cast("long") - 1).alias("line_no"), c)
+    no = lambda t, k, c: numbered(X.table(spark, sf, t).select(k, c), k, name="line_no", first=0).select(F.lit("f").alias("file"), "line_no", c)
     return S.zip_lines(no("nation", "n_nationkey", "n_name"), no("region", "r_regionkey", "r_name")).select(F.col("line_no").alias("i"), "n_name", "r_name")
 
 

@@ -5,11 +5,14 @@ Short texts are the whole ``benchmark`` table, so pairs of words run over whole
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import pairs as P
+from ..operators.lineage import shared_folder
 
 #: Small lexicons over words that the tables hold (fixed values).
 STOPWORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "on", "as", "with", "was", "be", "by", "at", "or", "an", "are", "from", "this")
@@ -30,6 +33,14 @@ def sql_rows(values, names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join(str(tuple(v)) for v in values)}) AS t({names}))"
 
 
+#: A stand-in for a tagger, by the endings of words.
+TAG_SQL = "CASE WHEN w LIKE '%ed' THEN 'VBD' WHEN w LIKE '%ly' THEN 'RB' WHEN w LIKE '%ble' THEN 'JJ' ELSE 'NN' END"
+
+
+def tag(w: Column) -> Column:
+    return F.when(w.endswith("ed"), "VBD").when(w.endswith("ly"), "RB").when(w.endswith("ble"), "JJ").otherwise("NN")
+
+
 def tok(spark: SparkSession, sf_dir: str, name: str = "benchmark", key: str = "item_id") -> DataFrame:
     return P.explode_tokens(table(spark, sf_dir, name), key)
 
@@ -46,12 +57,14 @@ PAIRS_SQL = "pairs AS (SELECT a.doc, a.w AS w1, b.w AS w2, count(*) AS times FRO
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``w, v``: the word of rank r (by count, then name) has the vector of id r - 1."""
-    rank = tok(spark, sf_dir).groupBy("w").agg(F.count("*").alias("n")).withColumn("vec_id", F.row_number().over(Window.orderBy(F.desc("n"), "w")).cast("long") - 1)
-    return rank.join(table(spark, sf_dir, "embeddings"), "vec_id").select("w", V.doubles(F.col("embedding")).alias("v"))
+    """``w, v``: a word has the vector that its hash names; a tenth of words have none."""
+    number = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
+    words = tok(spark, sf_dir).select("w").distinct().withColumn("h", number).where("h % 10 <> 0").crossJoin(F.broadcast(e.agg(F.count("*").alias("size"))))
+    return words.withColumn("vec_id", F.col("h") % F.col("size")).join(e, "vec_id").select("w", "v")
 
 
-VECTORS_SQL = "vec AS (SELECT w, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS vec_id FROM tok GROUP BY w) JOIN embeddings USING (vec_id))"
+VECTORS_SQL = "vec AS (SELECT w, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT w, h % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT DISTINCT w, CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) AS h FROM tok) WHERE h % 10 <> 0) JOIN embeddings USING (vec_id))"
 
 
 def edges(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
@@ -84,3 +97,28 @@ def game(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GAME_SQL = "game AS (SELECT user_id, event_type, event_id AS id, value AS score, CASE WHEN r = 1 THEN 2 WHEN r <= 10 THEN 1 ELSE 0 END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS r FROM events))"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/fixtures-{uuid.uuid4().hex}"
+
+
+def write_lines(lines: DataFrame, path: str, encoding: str | None = None) -> str:
+    """One text file of a column ``line`` (in order of ``n``, if there is one) under just this name; returns the name."""
+    spark = lines.sparkSession
+    lines = lines.orderBy("n").select("line") if "n" in lines.columns else lines
+    part = f"{path}-parts"
+    if encoding:
+        lines.coalesce(1).write.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(part)
+    else:
+        lines.coalesce(1).write.text(part)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = jvm.org.apache.hadoop.fs.Path
+    fs = name(path).getFileSystem(conf)
+    fs.mkdirs(name(path).getParent())
+    for f in fs.listStatus(name(part)):
+        if f.getPath().getName().startswith("part-"):
+            fs.rename(f.getPath(), name(path))
+    fs.delete(name(part), True)
+    return path

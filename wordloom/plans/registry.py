@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -16,14 +16,14 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"two queries named {name}")
         _QUERIES[name] = f
         if sql:
-            _SQL[name] = sql
+            SQL[name] = sql
         return f
 
     return add
 
 
 def _load() -> None:
-    from . import feature_queries, graph_queries, stats_queries, suite_queries, text_queries  # noqa: F401
+    from . import feature_queries, graph_queries, source_queries, stats_queries, suite_queries, text_queries, word_pair_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_SQL)
+    return dict(SQL)

@@ -9,13 +9,15 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import anchors as A
 from ..operators import lexical as L
+from ..operators import models as M
 from ..operators import pairs as P
 from ..operators import suites as U
 from ..sources import lines as S
 from ..sources import readers as R
 from . import feature_queries as Q
 from . import fixtures as X
-from .registry import query
+from .registry import SQL, query
+from .word_pair_queries import suite_sql
 
 _r = lambda c: F.round(c, 6).alias(c)
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -66,16 +68,6 @@ def o13(spark, sf):
     return R.resume(o, o.where("o_orderstatus = 'F'"), "o_orderkey").select("o_orderkey")
 
 
-_SENT = "sent AS (SELECT doc_id, unnest(range(len(ss))) AS sent, unnest(ss) AS s FROM (SELECT doc_id, string_split_regex(lower(text), '[.!?]+') AS ss FROM documents))"
-
-
-@query("b01_preprocess", f"WITH {_SENT} SELECT doc_id, count(*) AS sentences, CAST(sum(len(list_filter(regexp_extract_all(s, '[a-z]+'), lambda x: x NOT IN ({_STOP})))) AS BIGINT) AS tokens FROM sent WHERE len(list_filter(regexp_extract_all(s, '[a-z]+'), lambda x: x NOT IN ({_STOP}))) > 0 GROUP BY doc_id")
-def b01(spark, sf):
-    s = X.table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[.!?]+")).alias("s"))
-    words = s.select("doc_id", T.tokens(F.col("s")).alias("ws")).select("doc_id", F.filter("ws", lambda w: ~w.isin(*X.STOPWORDS)).alias("ws")).where(F.size("ws") > 0)
-    return words.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.size("ws")).alias("tokens"))
-
-
 @query("b03_strip_tags", "SELECT event_id, event_type || ' ' || user_id AS words FROM events")
 def b03(spark, sf):
     tagged = F.array(*(F.struct(w.alias("token"), F.lit("NN").alias("pos")) for w in (F.col("event_type"), F.col("user_id").cast("string"))))
@@ -88,11 +80,7 @@ def b05(spark, sf):
     return X.table(spark, sf, "events").select("event_id", T.sanitise(raw).alias("body"))
 
 
-_TAGGED = "CASE WHEN w LIKE '%ed' THEN 'VBD' WHEN w LIKE '%ly' THEN 'RB' WHEN w LIKE '%ble' THEN 'JJ' ELSE 'NN' END"
-
-
-def _tag(w):
-    return F.when(w.endswith("ed"), "VBD").when(w.endswith("ly"), "RB").when(w.endswith("ble"), "JJ").otherwise("NN")
+_TAGGED, _tag = X.TAG_SQL, X.tag
 
 
 @query("b10_content_tokens", f"WITH {X.tok_sql()}, t AS (SELECT doc, w, {_TAGGED} AS tag FROM tok) SELECT doc, w, count(*) AS n FROM t WHERE tag <> 'RB' AND w NOT IN ({_STOP}) GROUP BY 1, 2")
@@ -132,10 +120,12 @@ def b20(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", F.explode(T.white_tokens(F.col("p_name"))).alias("w")).groupBy("p_partkey", "w").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("b22_dict_vectoriser", f"WITH {X.tok_sql()}, v AS (SELECT DISTINCT w FROM tok WHERE doc < 20) SELECT doc, w AS key, count(*) AS n FROM tok WHERE w IN (SELECT w FROM v) GROUP BY 1, 2")
+@query("b22_dict_vectoriser", f"WITH {X.tok_sql('documents', 'doc_id')}, v AS (SELECT DISTINCT w FROM tok WHERE substring(md5(CAST(doc AS VARCHAR)), 1, 1) < 'c') SELECT doc, w AS key, count(*) AS n FROM tok WHERE w IN (SELECT w FROM v) GROUP BY 1, 2")
 def b22(spark, sf):
-    t = X.tok(spark, sf)
-    return t.join(t.where("doc < 20").select("w").distinct(), "w", "left_semi").groupBy("doc", F.col("w").alias("key")).agg(F.count("*").alias("n"))
+    """Columns are those of the training fold, three quarters of all documents by a hash of the id."""
+    c = X.tok(spark, sf, "documents", "doc_id").groupBy("doc", F.col("w").alias("key")).agg(F.count("*").alias("n"))
+    train = c.where(F.substring(F.md5(F.col("doc").cast("string").cast("binary")), 1, 1) < "c")
+    return c.join(train.select("key").distinct(), "key", "left_semi").select("doc", "key", "n")
 
 
 @query("b25_absent_features", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, -1) AS x FROM customer")
@@ -163,13 +153,35 @@ def c20(spark, sf):
     return A.candidates(_parsed(spark, sf)).select("doc", "cand", F.array_join("words", " ").alias("words"), "at")
 
 
-@query("c21_humour_anchors")
+_CHOSEN = f"""WITH {X.tok_sql()}, cand AS (SELECT doc, 'p' || pos // 2 AS cand, min(pos) AS at, list(w ORDER BY pos) AS ws FROM tok WHERE pos % 20 >= 14 AND pos < 60 GROUP BY doc, pos // 2),
+ two AS (SELECT a.doc, a.cand || '+' || b.cand AS variant, list_concat(a.ws, b.ws) AS gone FROM cand a JOIN cand b ON a.doc = b.doc AND a.at < b.at),
+ three AS (SELECT a.doc, a.cand || '+' || b.cand || '+' || c.cand AS variant, list_concat(list_concat(a.ws, b.ws), c.ws) AS gone FROM cand a JOIN cand b ON a.doc = b.doc AND a.at < b.at JOIN cand c ON c.doc = a.doc AND b.at < c.at),
+ sets AS (SELECT * FROM two UNION ALL SELECT * FROM three), words AS (SELECT doc, list(w ORDER BY pos) AS ws FROM tok GROUP BY doc),
+ score AS (SELECT doc, ws, coalesce(list_sum(list_transform(ws, lambda w: length(w))) / len(ws), 0) AS base FROM words),
+ got AS (SELECT s.doc, variant, gone, base, base - coalesce(list_sum(list_transform(list_filter(ws, lambda w: NOT list_contains(gone, w)), lambda w: length(w))) / nullif(len(list_filter(ws, lambda w: NOT list_contains(gone, w))), 0), 0) AS d FROM sets s JOIN score USING (doc)),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(d, 9) DESC, variant) AS k FROM got) WHERE k = 1)"""
+
+
+@query("c21_humour_anchors", _CHOSEN + " SELECT score.doc, array_to_string(coalesce(gone, ws), ' ') AS anchors, round(score.base, 6) AS baseline, round(coalesce(d, 0), 6) AS drop FROM score LEFT JOIN best ON best.doc = score.doc")
 def c21(spark, sf):
-    """Score: mean length of a text's words; sets of two candidates of the phrases."""
-    words = X.tok(spark, sf).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).getField("w").alias("words"))
-    cands = A.candidates(_parsed(spark, sf).where("phrase IS NOT NULL"))
-    length = lambda df: df.select("doc", "variant", F.aggregate("words", F.lit(0.0), lambda s, w: s + F.length(w)).alias("t"), F.size("words").alias("n")).select("doc", "variant", F.coalesce(F.try_divide("t", "n"), F.lit(0.0)).alias("score"))
-    return A.search(words, cands, length, (2, 2))
+    """Score: mean length of a text's words, rounded so that ties are ties; sets of two and three candidates."""
+    t = X.tok(spark, sf)
+    words = t.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).getField("w").alias("words"))
+    parsed = t.where("pos % 20 >= 14 AND pos < 60").withColumn("tag", _tag(F.col("w"))).withColumn("phrase", F.floor(F.col("pos") / 2))
+    length = lambda df: df.select("doc", "variant", F.aggregate("words", F.lit(0.0), lambda s, w: s + F.length(w)).alias("t"), F.size("words").alias("n")).select("doc", "variant", F.round(F.coalesce(F.try_divide("t", "n"), F.lit(0.0)), 10).alias("score"))
+    got = A.search(words, A.candidates(parsed), length, (2, 3))
+    return got.select("doc", F.array_join("anchors", " ").alias("anchors"), _r("baseline"), _r("drop"))
+
+
+_LEAVES = f"WITH {X.tok_sql()}, leaf AS (SELECT doc, pos // 7 AS sent, pos % 7 AS leaf, pos, w, {X.TAG_SQL} AS tag FROM tok), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS idx, tag <> 'RB' AND w NOT IN ({_STOP}) AS held FROM leaf), p AS (SELECT *, CASE WHEN held THEN count(*) FILTER (held) OVER (PARTITION BY doc ORDER BY pos) - 1 ELSE -1 END AS place FROM n)"
+
+
+@query("c19_enumerated_leaves", _LEAVES + " SELECT doc, CAST(idx AS INTEGER) AS idx, CAST(place AS INTEGER) AS place, place || ' ' || idx || ' ' || w AS label FROM p")
+def c19(spark, sf):
+    t = X.tok(spark, sf).withColumn("tag", _tag(F.col("w")))
+    leaves = t.select("doc", F.floor(F.col("pos") / 7).alias("sent"), (F.col("pos") % 7).alias("leaf"), "w", "tag")
+    kept = t.where("tag <> 'RB'").where(~F.col("w").isin(*X.STOPWORDS))
+    return A.enumerate_leaves(leaves, kept).select("doc", "idx", "place", "label")
 
 
 @query("c24_token_perplexity", Q._LM + " SELECT doc, count(*) AS n, round(avg(pow(10, -bp)), 2) AS mean FROM p GROUP BY doc")
@@ -210,40 +222,138 @@ def c35(spark, sf):
     return X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(both, "id", "left").select("id", F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("sim"))
 
 
-@query("c36_sense_products", "WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT label, min(vec_id) AS q FROM e GROUP BY 1) SELECT e.label, round(max(list_cosine_similarity(e.v, f.v)), 6) AS hi, round(avg(list_cosine_similarity(e.v, f.v)), 6) AS mid FROM e JOIN q USING (label) JOIN e f ON f.vec_id = q GROUP BY e.label")
-def c36(spark, sf):
-    e = X.table(spark, sf, "embeddings").select("label", "vec_id", V.doubles(F.col("embedding")).alias("v"))
-    first = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("u"))
-    return e.join(first, "label").groupBy("label").agg(F.round(F.max(V.cosine(F.col("v"), F.col("u"))), 6).alias("hi"), F.round(F.avg(V.cosine(F.col("v"), F.col("u"))), 6).alias("mid"))
+_CAND = f"{X.tok_sql()}, par AS (SELECT doc, pos, w, {X.TAG_SQL} AS tag, CASE WHEN pos % 10 >= 4 THEN pos // 2 END AS phrase FROM tok), anc AS (SELECT doc, 'p' || phrase AS cand, pos, w FROM par WHERE phrase IS NOT NULL UNION ALL SELECT doc, 'w' || pos, pos, w FROM par WHERE phrase IS NULL AND (tag LIKE 'NN%' OR tag LIKE 'VB%')), intra AS (SELECT a.doc, a.w AS w1, b.w AS w2, count(*) AS times FROM anc a JOIN anc b ON a.doc = b.doc AND a.cand = b.cand AND a.pos < b.pos GROUP BY 1, 2, 3), inter AS (SELECT a.doc, a.w AS w1, b.w AS w2, count(*) AS times FROM anc a JOIN anc b ON a.doc = b.doc AND a.cand < b.cand GROUP BY 1, 2, 3)"
+_EMB = "_s AS (SELECT w1, w2, {cos} AS score FROM (SELECT w1, w2 FROM intra UNION SELECT w1, w2 FROM inter) LEFT JOIN vec a ON w1 = a.w LEFT JOIN vec b ON w2 = b.w)".format(cos=Q._cos)
+
+
+def _side_sql(side: str) -> str:
+    return f"SELECT doc, round(coalesce(min(score), 0), 6) AS {side}_lo, round(coalesce(sum(score * times) / sum(times), 0), 6) AS {side}_mid, round(coalesce(max(score), 0), 6) AS {side}_hi FROM {side} JOIN _s USING (w1, w2) GROUP BY doc"
+
+
+_ANCHOR_EMB = f"WITH {_CAND}, {X.VECTORS_SQL}, {_EMB} SELECT item_id AS doc, {', '.join(f'coalesce({s}_{n}, 0) AS {s}_{n}' for s in ('intra', 'inter') for n in ('lo', 'mid', 'hi'))} FROM benchmark LEFT JOIN ({_side_sql('intra')}) i ON i.doc = item_id LEFT JOIN ({_side_sql('inter')}) j ON j.doc = item_id"
+_TW = [c.split(" AS ")[1] for c in Q._twelve]
+
+
+def _assoc_sql(side: str) -> str:
+    return f"SELECT item_id AS doc, {', '.join(Q._twelve)} FROM benchmark LEFT JOIN (SELECT doc, times, coalesce(f.p, 0) AS f, coalesce(b.p, 0) AS b FROM {side} LEFT JOIN strength f ON f.cue = w1 AND f.resp = w2 LEFT JOIN strength b ON b.cue = w2 AND b.resp = w1) s ON doc = item_id GROUP BY item_id"
+
+
+_BOTH = P.interlace([f"intra_{c}" for c in _TW], [f"inter_{c}" for c in _TW])
+_ANCHOR_ASSOC = f"WITH {_CAND}, {X.STRENGTH_SQL} SELECT i.doc, {', '.join(f'{c[:5]}.{c[6:]} AS {c}' for c in _BOTH).replace('intra.', 'i.').replace('inter.', 'j.')} FROM ({_assoc_sql('intra')}) i JOIN ({_assoc_sql('inter')}) j USING (doc)"
+
+
+def _anchor_words(spark, sf):
+    """``doc, anchor, pos, w``: phrases and lone content words of short texts."""
+    p = _parsed(spark, sf)
+    inside = p.where("phrase IS NOT NULL").select("doc", F.concat(F.lit("p"), F.col("phrase").cast("string")).alias("anchor"), "pos", "w")
+    lone = p.where(F.col("phrase").isNull() & F.col("tag").rlike("^(NN|VB)")).select("doc", F.concat(F.lit("w"), F.col("pos").cast("string")).alias("anchor"), "pos", "w")
+    return inside.unionByName(lone)
+
+
+def _sides(spark, sf):
+    return {n: p.groupBy("doc", "w1", "w2").agg(F.count("*").alias("times")) for n, p in zip(("intra", "inter"), P.anchor_pairs(_anchor_words(spark, sf)), strict=True)}
+
+
+@query("c12_anchor_embedding", _ANCHOR_EMB)
+def c12(spark, sf):
+    """Embedding features of pairs that are made already: those within anchors and those between."""
+    sides, out = _sides(spark, sf), X.docs(spark, sf)
+    scores = P.vector_scores(sides["intra"].unionByName(sides["inter"]), X.vectors(spark, sf))
+    for n, pairs in sides.items():
+        out = out.join(P.interword(X.docs(spark, sf), pairs, scores).select("doc", *(F.round(c, 6).alias(f"{n}_{c}") for c in ("lo", "mid", "hi"))), "doc")
+    return out
+
+
+@query("c11_anchor_association", _ANCHOR_ASSOC)
+def c11b(spark, sf):
+    one, two = (P.association_vector(X.docs(spark, sf), pairs, Q._strength(spark, sf)).select("doc", *(F.round(c, 6).alias(f"{n}_{c}") for c in _TW)) for n, pairs in _sides(spark, sf).items())
+    return one.join(two, "doc").select("doc", *_BOTH)
+
+
+_SHORT_CHAIN = Q._CHAIN.replace(X.tok_sql("documents", "doc_id"), X.tok_sql()).replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark")
+_SHORT_LM = Q._LM.replace(X.tok_sql("documents", "doc_id"), X.tok_sql())
+_COLS = ["negative", "positive", "weak", "strong"]
+
+
+def _short_lm(spark, sf):
+    t = X.tok(spark, sf)
+    seq = t.select(F.lag("w").over(Window.partitionBy("doc").orderBy("pos")).alias("w1"), F.col("w").alias("w2")).where("w1 IS NOT NULL")
+    got = L.perplexity(t, t.groupBy("w").agg(F.count("*").alias("n")), seq.groupBy("w1", "w2").agg(F.count("*").alias("n")))
+    return got.select("doc", *(F.round(c, 4).alias(c) for c in ("uni_logprob", "bi_logprob", "uni_ppl", "bi_ppl")))
+
+
+def _nearest_labels(spark, sf):
+    near = Q.c10(spark, sf).select("q", "rank", (F.col("r") % 3).alias("y"))
+    return near.groupBy(F.col("q").alias("doc")).agg(*(F.max(F.when(F.col("rank") == i, F.col("y"))).alias(f"y{i}") for i in range(1, 6)))
+
+
+def _average(spark, sf):
+    got = Q.c09(spark, sf)
+    return got.groupBy("doc").agg(*(F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"v{i}") for i in range(64)))
+
+
+def _content(spark, sf):
+    c = X.tok(spark, sf).groupBy("doc", "w").agg(F.count("*").alias("n"))
+    return M.naive_bayes(c.join(X.docs(spark, sf).select("doc", (F.col("doc") % 2).alias("label")), "doc"), c)
+
+
+_C05 = f"""WITH {X.tok_sql()}, c AS (SELECT doc, w, count(*) AS n FROM tok GROUP BY 1, 2), t AS (SELECT c.*, doc % 2 AS label FROM c), d AS (SELECT label, ln(count(DISTINCT doc) / (SELECT count(DISTINCT doc) FROM t)) AS prior FROM t GROUP BY 1),
+ tot AS (SELECT label, sum(n) AS t FROM t GROUP BY 1), cnt AS (SELECT label, w, sum(n) AS c FROM t GROUP BY 1, 2), v AS (SELECT count(DISTINCT w) AS v FROM t),
+ s AS (SELECT doc, d.label, any_value(prior) + sum(n * ln((coalesce(c, 0) + 1) / (t + v))) AS s FROM c CROSS JOIN d JOIN tot ON tot.label = d.label CROSS JOIN v LEFT JOIN cnt ON cnt.label = d.label AND cnt.w = c.w GROUP BY 1, 2)
+ SELECT doc, label FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(s, 9) DESC, label) AS k FROM s) WHERE k = 1"""
+
+#: Features of short texts: function, columns, SQL.
+_PARTS = {
+    "perplexity": (_short_lm, ["uni_logprob", "bi_logprob", "uni_ppl", "bi_ppl"], _SHORT_LM + " SELECT doc, round(sum(up), 4) AS uni_logprob, round(sum(bp), 4) AS bi_logprob, round(pow(10, -sum(up) / count(*)), 4) AS uni_ppl, round(pow(10, -sum(bp) / count(*)), 4) AS bi_ppl FROM p GROUP BY doc"),
+    "embedding": (Q.c01, ["lo", "mid", "hi"], SQL["c01_interword_score"]),
+    "association": (Q.c11, _TW, SQL["c11_association_vector"]),
+    "relations": (Q.c17b, Q._ROLES, SQL["c17_relation_counts_backward"]),
+    "anchor_embedding": (c12, [f"{s}_{n}" for s in ("intra", "inter") for n in ("lo", "mid", "hi")], _ANCHOR_EMB),
+    "anchor_association": (c11b, _BOTH, _ANCHOR_ASSOC),
+    "no_anchors": (lambda spark, sf: U.zeros(X.docs(spark, sf), "doc", 54), [f"z{i}" for i in range(54)], "SELECT item_id AS doc, " + ", ".join(f"0 AS z{i}" for i in range(54)) + " FROM benchmark"),
+    "interpersonal": (lambda spark, sf: L.lexicon_counts(X.docs(spark, sf), X.tok(spark, sf), X.rows(spark, X.LEXICON, "w string, tag string"), _COLS), _COLS, f"WITH {X.tok_sql()}, l AS (SELECT w, tag FROM {X.sql_rows(X.LEXICON, 'w, tag')}), h AS (SELECT doc, tag FROM tok JOIN l USING (w)) SELECT item_id AS doc, {', '.join(f'count(*) FILTER (tag = {chr(39)}{c}{chr(39)}) AS {c}' for c in _COLS)} FROM benchmark LEFT JOIN h ON doc = item_id GROUP BY item_id"),
+    "phonetic": (lambda spark, sf: L.chains(X.docs(spark, sf), X.tok(spark, sf), Q._prons(X.tok(spark, sf))), ["alliterations", "longest_alliteration", "rhymes", "longest_rhyme"], _SHORT_CHAIN),
+    "incongruity": (Q.c06, ["disconnection", "repetition"], SQL["c06_incongruity"]),
+    "ambiguity": (Q.c07, ["log_senses", "farthest", "closest"], SQL["c07_ambiguity"]),
+    "average_vector": (_average, [f"v{i}" for i in range(64)], f"SELECT doc, {', '.join(f'max(x) FILTER (i = {i}) AS v{i}' for i in range(64))} FROM ({SQL['c09_average_vector']}) GROUP BY doc"),
+    "nearest": (_nearest_labels, [f"y{i}" for i in range(1, 6)], f"SELECT q AS doc, {', '.join(f'max(r % 3) FILTER (rank = {i}) AS y{i}' for i in range(1, 6))} FROM ({SQL['c10_nearest_documents']}) GROUP BY q"),
+    "alliteration": (lambda spark, sf: L.chains(X.docs(spark, sf), X.tok(spark, sf), Q._prons(X.tok(spark, sf))).select("doc", "alliterations", "rhymes"), ["alliterations", "rhymes"], _SHORT_CHAIN),
+    "antonymy": (lambda spark, sf: L.antonym_count(X.docs(spark, sf), X.tok(spark, sf), X.rows(spark, X.ANTONYMS, "w string, opposite string")), ["n_antonyms"], SQL["c03_antonym_count"].replace("documents", "benchmark").replace("doc_id", "item_id")),
+    "slang": (lambda spark, sf: L.slang_count(X.docs(spark, sf), X.tok(spark, sf), X.rows(spark, X.SENSES, "w string, sense string, domain string").select("w", "sense", F.array("domain").alias("domains")), "sexuality"), ["n_slang"], SQL["c04_slang_count"].replace("documents", "benchmark").replace("doc_id", "item_id")),
+    "content": (_content, ["label"], _C05),
+}
 
 
 def _suite(spark, sf, names):
-    suite = U.Suite("doc", {
-        "interpersonal": lambda: L.lexicon_counts(X.docs(spark, sf), X.tok(spark, sf), X.rows(spark, X.LEXICON, "w string, tag string"), ["negative", "positive", "weak", "strong"]),
-        "phonetic": lambda: Q.c02(spark, sf),
-        "incongruity": lambda: Q.c06(spark, sf),
-        "association": lambda: Q.c11(spark, sf),
-        "relations": lambda: Q.c17(spark, sf),
-        "antonymy": lambda: L.antonym_count(X.docs(spark, sf), X.tok(spark, sf), X.rows(spark, X.ANTONYMS, "w string, opposite string")),
-        "slang": lambda: L.slang_count(X.docs(spark, sf), X.tok(spark, sf), X.rows(spark, X.SENSES, "w string, sense string, domain string").select("w", "sense", F.array("domain").alias("domains")), "sexuality"),
-        "ambiguity": lambda: Q.c07(spark, sf),
-    })
-    return suite(X.docs(spark, sf), names)
-
-
-@query("c47_cattle_ma_suite")
+    suite = U.Suite("doc", {n: (lambda f=f: f(spark, sf)) for n, (f, _, _) in _PARTS.items()}, dims={n: len(c) for n, (_, c, _) in _PARTS.items()})
+    return suite(X.docs(spark, sf), names, in_order=True)
+
+
+def _suite_sql(names) -> str:
+    return suite_sql("doc", "SELECT item_id AS doc FROM benchmark", {n: _PARTS[n] for n in names})
+
+
+_CATTLE_MA = U.SUITES["cattle_ma"]
+
+
+@query("c47_cattle_ma_suite", _suite_sql(_CATTLE_MA))
 def c47(spark, sf):
-    return _suite(spark, sf, ["incongruity", "association", "relations"])
+    return _suite(spark, sf, _CATTLE_MA)
+
+
+@query("c47_without_anchors", _suite_sql((*_CATTLE_MA[:4], "no_anchors")))
+def c47b(spark, sf):
+    return _suite(spark, sf, (*_CATTLE_MA[:4], "no_anchors"))
 
 
-@query("c48_yang_suite")
+@query("c48_yang_suite", _suite_sql(U.SUITES["yang"]))
 def c48(spark, sf):
-    return _suite(spark, sf, ["interpersonal", "incongruity", "ambiguity"])
+    return _suite(spark, sf, U.SUITES["yang"])
 
 
-@query("c49_mihalcea_suite", f"WITH {X.tok_sql()}, ant AS (SELECT w, opposite FROM {Q._ANT} UNION SELECT opposite, w FROM {Q._ANT}), hit AS (SELECT DISTINCT t.doc, t.pos FROM tok t JOIN ant USING (w) JOIN tok f ON f.doc = t.doc AND f.w = opposite AND f.pos < t.pos), s AS (SELECT w FROM {Q._SEN} GROUP BY w HAVING count(*) < 4 AND bool_or(domain = 'sexuality')) SELECT item_id AS doc, CAST((SELECT count(*) FROM hit WHERE doc = item_id) AS DOUBLE) AS antonymy_n_antonyms, CAST((SELECT count(*) FROM tok JOIN s USING (w) WHERE doc = item_id) AS DOUBLE) AS slang_n_slang FROM benchmark")
+@query("c49_mihalcea_suite", _suite_sql(U.SUITES["mihalcea"]))
 def c49(spark, sf):
-    return _suite(spark, sf, ["antonymy", "slang"])
+    return _suite(spark, sf, U.SUITES["mihalcea"])
 
 
 @query("e01_pairs_in_group", f"WITH {X.tok_sql()} SELECT doc, count(*) * (count(*) - 1) // 2 AS n FROM tok GROUP BY doc HAVING count(*) > 1")

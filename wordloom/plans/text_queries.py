@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexical as L
+from ..operators.ranking import numbered
 from ..sources import lines as S
 from . import fixtures as X
 from .registry import query
@@ -168,7 +169,7 @@ def b19(spark, sf):
 @query("b21_count_vectoriser", "WITH " + X.tok_sql() + ", v AS (SELECT w, dense_rank() OVER (ORDER BY w) - 1 AS idx FROM tok GROUP BY w) SELECT doc, idx, count(*) AS n FROM tok JOIN v USING (w) GROUP BY doc, idx")
 def b21(spark, sf):
     t = X.tok(spark, sf)
-    v = t.select("w").distinct().withColumn("idx", F.row_number().over(Window.orderBy("w")).cast("long") - 1)
+    v = numbered(t.select("w").distinct(), "w", name="idx", first=0)
     return t.join(v, "w").groupBy("doc", "idx").agg(F.count("*").alias("n"))
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import numbered
 from . import lines as L
 
 
@@ -115,6 +117,50 @@ def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return text_lines(spark, path).where(F.size(p) > 2).select(p[0].alias("w"), F.slice(p, F.lit(2), F.size(p) - 1).cast("array<double>").alias("v"))
 
 
+def gaussian_vectors(spark: SparkSession, path: str, vocabulary: str) -> DataFrame:
+    """``w, mu, sigma`` of a table ``vec_id, mu, sigma`` and a vocabulary file of ids, words and counts.
+
+    Rows without a word, and words without a row, are left out.
+    """
+    p = F.split("line", "\t")
+    words = text_lines(spark, vocabulary).where(F.size(p) >= 2).select(p[0].cast("long").alias("vec_id"), p[1].alias("w"))
+    return spark.read.parquet(path).join(words, "vec_id").select("w", "mu", "sigma")
+
+
+@dataclass
+class Dictionary:
+    """Document frequencies ``w, df`` and the number of documents they come from."""
+
+    frequencies: DataFrame
+    docs: int
+
+    def weigh(self, counts: DataFrame) -> DataFrame:
+        """``doc, w, x`` of counts ``doc, w, tf``; words that the dictionary lacks are left out."""
+        return counts.join(self.frequencies, "w").select("doc", "w", (F.col("tf") * F.log2(F.lit(self.docs) / F.col("df"))).alias("x"))
+
+
+def save_dictionary(counts: DataFrame, path: str) -> None:
+    """The dictionary of ``doc, w``, as two tables."""
+    pairs = counts.select("doc", "w").distinct()
+    pairs.groupBy("w").agg(F.count("*").alias("df")).write.parquet(f"{path}/frequencies")
+    pairs.agg(F.countDistinct("doc").alias("docs")).write.parquet(f"{path}/size")
+
+
+def load_dictionary(spark: SparkSession, path: str) -> Dictionary:
+    return Dictionary(spark.read.parquet(f"{path}/frequencies"), spark.read.parquet(f"{path}/size").first().docs)
+
+
+def save_topics(weights: DataFrame, path: str) -> None:
+    """Weights ``w, topic, n`` of a topic model."""
+    weights.select("w", "topic", "n").write.parquet(path)
+
+
+def load_topics(spark: SparkSession, path: str) -> DataFrame:
+    """``w, topic, x``: each word's share of a saved topic."""
+    t = spark.read.parquet(path)
+    return t.join(t.groupBy("topic").agg(F.sum("n").alias("total")), "topic").select("w", "topic", (F.col("n") / F.col("total")).alias("x"))
+
+
 def ngram_counts(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     rows = text_lines(spark, path).select("line")
     if raw:
@@ -181,7 +227,7 @@ def resume(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def pajek_text(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     """``part, line``: a Pajek file's lines, vertices numbered from 1 in order of name."""
-    v = vertices.select("name").distinct().withColumn("id", F.row_number().over(Window.orderBy("name")))
+    v = numbered(vertices.select("name").distinct(), "name", name="id")
     head = v.agg(F.concat(F.lit("*Vertices "), F.count("*").cast("string")).alias("line")).select(F.lit(0).alias("part"), "line")
     names = v.select(F.lit(1).alias("part"), F.concat(F.col("id").cast("string"), F.lit(' "'), "name", F.lit('"')).alias("line"))
     mark = v.sparkSession.createDataFrame([(2, "*Arcs")], "part int, line string")
