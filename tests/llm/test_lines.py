@@ -1,6 +1,7 @@
 """Line dedup against a plain version, and the index forwards and backwards."""
 
 import numpy as np
+import pyarrow as pa
 
 from wordloom.llm import lines
 
@@ -48,10 +49,29 @@ def test_insert_and_delete_are_reversible(spark, monkeypatch):
     assert table(both.refs) == table(lines.LineIndex.build(docs(rows)).refs)
     back = both.delete(docs(rows[15:]))
     assert table(back.refs) == table(first.refs) and table(back.entries) == table(first.entries)
+    # the filters' answers and keepers come back too, and only shards that a change crosses are written
+    answers = lambda index: {(k, bool(held.contains(np.array([k], np.int64).view(np.uint64))[0]), int(x)) for r in index.shards()[0].toArrow().to_batches() for i in range(r.num_rows) for held, keys, keepers in [lines.read_shard(pa.table(r.slice(i, 1)))] for k, x in zip(keys[0].tolist(), keepers, strict=True)}
+    assert answers(back) == answers(first) and answers(both) == answers(lines.LineIndex.build(docs(rows))) and all(a for _, a, _ in answers(both))
+    assert table(both.fold().refs) == table(both.refs)
     got = lines.dedup_lines(docs(rows), index=both)
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == plain(rows)
 
 
+def test_a_change_writes_the_shards_it_touches(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 4)
+    docs = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    rows = [(i, "\n".join(f"a line that three documents hold, number {k}" for k in range(40))) for i in range(3)]
+    index = lines.LineIndex.build(docs(rows))
+    assert index.shards()[1] == 10
+    same = index.insert(docs([(0, "a line of one document only, and no other")]))
+    assert same.touched.count() == 0
+    one = index.insert(docs([(9, "a line that three documents hold, number 7")]))  # its keeper is another now
+    assert one.touched.count() == 1 and one.shards()[0].count() == index.shards()[0].count()
+    gone = one.delete(docs([(9, "")]).select("doc_id"))
+    assert gone.touched.count() == 1
+    assert index.delete(docs([(2, "")]).select("doc_id")).touched.count() == index.shards()[0].count()
+
+
 def test_filter_holds_what_was_inserted_and_deletes():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     held = lines.CuckooFilter.of(keys)

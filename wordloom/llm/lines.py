@@ -6,6 +6,9 @@ is, and the largest id among them. ``shards`` has a row for each shard: a cuckoo
 that are in at least ``min_docs`` documents, and those keys' exact keepers beside it. A line is first
 looked up in its shard's filter, and only a hit is looked up in the exact table.
 
+A change of documents changes the filters of the shards that it touches, by insertions and deletions of the
+keys whose counts cross the threshold; undoing it restores what the filters answer.
+
 No step gathers a key's rows: counts are summed in each task before they are shuffled, and lookups
 go to a shard's row by salted groups of bounded size.
 """
@@ -24,7 +27,7 @@ from . import kernels as K
 from .store import Store
 
 #: Lines of one lookup group, and keys of one shard.
-GROUP_LINES, SHARD_KEYS = 1 << 16, 1 << 19
+GROUP_LINES, SHARD_KEYS = 1 << 18, 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -48,29 +51,37 @@ class CuckooFilter:
         p, a, b = self._places(keys)
         return (self.table[a] == p[:, None]).any(axis=1) | (self.table[b] == p[:, None]).any(axis=1)
 
+    def _fill(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Puts prints into free slots of the buckets ``at``; numbers of those that found none."""
+        order = np.argsort(at, kind="stable")
+        bucket = at[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
+        turn = np.arange(len(bucket)) - np.repeat(first, np.diff(first, append=len(bucket)))
+        taken = self.table[bucket] != 0
+        fits = turn < self.SLOTS - taken.sum(axis=1)
+        slot = np.argsort(taken[fits], axis=1, kind="stable")[np.arange(int(fits.sum())), turn[fits]]
+        self.table[bucket[fits], slot] = prints[order[fits]]
+        return order[~fits]
+
     def insert(self, keys: np.ndarray) -> bool:
         """False if a key found no room; the caller then builds a larger filter from the exact table."""
         table, mask = self.table, len(self.table) - 1
-        kick = 0
-        for p, a, b in zip(*(x.tolist() for x in self._places(keys)), strict=True):
-            at = a
-            for place in (a, b):
-                free = np.flatnonzero(table[place] == 0)
+        prints, one, two = self._places(keys)
+        left = self._fill(prints, one)
+        left = left[self._fill(prints[left], two[left])]
+        # only keys that found both buckets full move others on
+        for kick, i in enumerate(left.tolist()):
+            p, at = int(prints[i]), int(one[i])
+            for n in range(self.KICKS):
+                free = np.flatnonzero(table[at] == 0)
                 if len(free):
-                    table[place, free[0]] = p
+                    table[at, free[0]] = p
                     break
+                slot = (n + kick) % self.SLOTS
+                p, table[at, slot] = int(table[at, slot]), p
+                at = int((np.uint64(at) ^ K.mix(np.array([p], np.uint64))[0]) & np.uint64(mask))
             else:
-                for n in range(self.KICKS):
-                    slot = (n + kick) % self.SLOTS
-                    p, table[at, slot] = int(table[at, slot]), p
-                    at = int((np.uint64(at) ^ K.mix(np.array([p], np.uint64))[0]) & np.uint64(mask))
-                    free = np.flatnonzero(table[at] == 0)
-                    if len(free):
-                        table[at, free[0]] = p
-                        break
-                else:
-                    return False
-                kick += 1
+                return False
         return True
 
     def delete(self, keys: np.ndarray) -> None:
@@ -150,13 +161,66 @@ def references(entries: DataFrame) -> DataFrame:
     return entries.groupBy("one", "two").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
 
 
+def build_shard(table: pa.Table) -> pa.Table:
+    """A shard's row from its repeated keys."""
+    one, two, keeper = (table.column(c).to_numpy() for c in ("one", "two", "keeper"))
+    order = np.lexsort((two, one))
+    return shard_row(int(table.column("shard")[0].as_py()), CuckooFilter.of(one.view(np.uint64)), one[order], two[order], keeper[order])
+
+
+def shard_row(shard: int, held: CuckooFilter, one: np.ndarray, two: np.ndarray, keeper: np.ndarray) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([held.table.tobytes()], pa.binary()), "keys": pa.array([one.tobytes() + two.tobytes()], pa.binary()), "keepers": pa.array([keeper.tobytes()], pa.binary())})
+
+
+SHARD = "shard int, filter binary, keys binary, keepers binary"
+
+
+def read_shard(shard: pa.Table) -> tuple[CuckooFilter, np.ndarray, np.ndarray]:
+    """The filter, the two rows of key hashes, and the keepers of a shard's row."""
+    table = np.frombuffer(shard.column("filter")[0].as_py(), np.uint16).reshape(-1, CuckooFilter.SLOTS)
+    return CuckooFilter(0, table), np.frombuffer(shard.column("keys")[0].as_py(), np.int64).reshape(2, -1), np.frombuffer(shard.column("keepers")[0].as_py(), np.int64)
+
+
+def change_shard(shards: pa.Table, changes: pa.Table) -> pa.Table:
+    """A shard's row after keys have come (``now``), gone, or changed keepers: its filter is changed in place."""
+    if not changes.num_rows:
+        return shards
+    number = int(changes.column("shard")[0].as_py())
+    if shards.num_rows:
+        held, keys, keepers = read_shard(shards)
+        held = CuckooFilter(0, held.table.copy())
+    else:
+        held, keys, keepers = CuckooFilter(16), np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+    one, two, keeper = (changes.column(c).to_numpy() for c in ("one", "two", "keeper"))
+    now = changes.column("now").to_numpy(zero_copy_only=False)
+    every = np.concatenate((keys, np.stack((one, two))), axis=1)
+    _, code = np.unique(np.ascontiguousarray(every.T).view(np.dtype((np.void, 16))).ravel(), return_inverse=True)
+    old, new = code[: keys.shape[1]], code[keys.shape[1] :]
+    had = np.isin(new, old)
+    held.delete(one[had & ~now].view(np.uint64))
+    stay = ~np.isin(old, new)
+    one, two, keeper = (np.concatenate(x) for x in ((keys[0][stay], one[now]), (keys[1][stay], two[now]), (keepers[stay], keeper[now])))
+    come = changes.column("one").to_numpy()[now & ~had].view(np.uint64)
+    if not held.insert(come):  # full: a larger filter from the exact keys
+        held = CuckooFilter.of(one.view(np.uint64))
+    order = np.lexsort((two, one))
+    return shard_row(number, held, one[order], two[order], keeper[order])
+
+
 class LineIndex:
-    """A line index over documents; ``insert`` and ``delete`` return a new one and leave this as it is."""
+    """A line index over documents; ``insert`` and ``delete`` return a new one and leave this as it is.
+
+    A change writes only what it touches: the documents' own entries, the reference counts of their keys, and
+    the shards that hold a key whose count has crossed ``min_docs`` or whose keeper is another. All else is read
+    from the tables before it. ``fold`` writes one set of tables again after many changes.
+    """
 
-    def __init__(self, entries: DataFrame, refs: DataFrame, min_docs: int = 3, min_chars: int = 20, store: Store | None = None):
+    def __init__(self, entries: DataFrame, refs: DataFrame, min_docs: int = 3, min_chars: int = 20, store: Store | None = None, shards: tuple[DataFrame, int] | None = None):
         self.store = store or Store(entries.sparkSession, "lines")
         self.entries, self.refs, self.min_docs, self.min_chars = entries, refs, min_docs, min_chars
-        self._shards: tuple[DataFrame, int] | None = None
+        self._shards = shards
+        #: Shards that the last change wrote.
+        self.touched: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
@@ -164,42 +228,55 @@ class LineIndex:
         entries = store.put(document_keys(docs, min_chars, id_col, text_col), "entries")
         return cls(entries, store.put(references(entries), "refs"), min_docs, min_chars, store)
 
-    def _next(self, entries: DataFrame, refs: DataFrame) -> LineIndex:
-        store = Store(entries.sparkSession, "lines")
-        return LineIndex(store.put(entries, "entries"), store.put(refs, "refs"), self.min_docs, self.min_chars, store)
+    def _changed(self, entries: DataFrame, counts: DataFrame, store: Store) -> LineIndex:
+        """With other entries, and other counts of the keys ``one, two, n_docs, keeper`` (0 documents: none left)."""
+        counts = store.put(counts, "refs")
+        keys = counts.select("one", "two").hint("merge")
+        refs = self.refs.join(keys, ["one", "two"], "left_anti").unionByName(counts.where("n_docs > 0"))
+        shards, number = self.shards()
+        before = self.refs.join(keys, ["one", "two"], "left_semi").select("one", "two", F.col("n_docs").alias("had"), F.col("keeper").alias("kept"))
+        both = counts.join(before.hint("merge"), ["one", "two"], "left").withColumns({"now": F.col("n_docs") >= self.min_docs, "was": F.coalesce(F.col("had") >= self.min_docs, F.lit(False))})
+        changes = store.put(both.where("now <> was OR (now AND keeper <> kept)").select(F.pmod("one", F.lit(number)).cast("int").alias("shard"), "one", "two", "keeper", "now"), "changes")
+        touched = changes.select("shard").distinct()
+        some = shards.join(touched.hint("merge"), "shard", "left_semi")
+        made = store.put(some.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(change_shard, SHARD), "shards")
+        rest = shards.join(touched.hint("merge"), "shard", "left_anti")
+        index = LineIndex(entries, refs, self.min_docs, self.min_chars, store, (rest.unionByName(made), number))
+        index.touched = made
+        return index
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """With more documents; keys that a document already has in the index count once."""
-        new = self.store.put(document_keys(docs, self.min_chars, id_col, text_col).join(self.entries, ["doc", "one", "two"], "left_anti"), "delta")
-        merged = self.refs.unionByName(references(new)).groupBy("one", "two").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-        made = self._next(self.entries.unionByName(new), merged)
-        self.store.drop("delta")
-        return made
+        store = Store(docs.sparkSession, "lines")
+        new = store.put(document_keys(docs, self.min_chars, id_col, text_col).join(self.entries, ["doc", "one", "two"], "left_anti"), "entries")
+        added = references(new)
+        old = self.refs.join(added.select("one", "two").hint("merge"), ["one", "two"], "left_semi")
+        counts = old.unionByName(added).groupBy("one", "two").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        return self._changed(self.entries.unionByName(new), counts, store)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Without the documents of these ids; keys that they kept go to the largest id that remains."""
-        gone = ids.select(F.col(id_col).cast("long").alias("doc")).distinct()
+        store = Store(ids.sparkSession, "lines")
+        gone = store.put(ids.select(F.col(id_col).cast("long").alias("doc")).where("doc IS NOT NULL").distinct(), "gone").hint("merge")
         left = self.entries.join(gone, "doc", "left_anti")
-        touched = self.entries.join(gone, "doc", "left_semi").select("one", "two").distinct()
-        again = references(left.join(touched, ["one", "two"], "left_semi"))
-        return self._next(left, self.refs.join(touched, ["one", "two"], "left_anti").unionByName(again))
+        touched = store.put(self.entries.join(gone, "doc", "left_semi").select("one", "two").distinct(), "touched")
+        again = references(left.join(touched.hint("merge"), ["one", "two"], "left_semi"))
+        counts = touched.join(again.hint("merge"), ["one", "two"], "left").select("one", "two", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), F.coalesce("keeper", F.lit(-1)).cast("long").alias("keeper"))
+        return self._changed(left, counts, store)
+
+    def fold(self) -> LineIndex:
+        """The same index over one set of tables, so that reads no longer go through its changes."""
+        store = Store(self.entries.sparkSession, "lines")
+        shards, number = self.shards()
+        return LineIndex(store.put(self.entries, "entries"), store.put(self.refs, "refs"), self.min_docs, self.min_chars, store, (store.put(shards, "shards"), number))
 
     def shards(self) -> tuple[DataFrame, int]:
         """A row per shard: its filter, and the repeated keys in order with their keepers."""
         if self._shards is None:
             repeated = self.refs.where(F.col("n_docs") >= self.min_docs)
             number = max(1, -(-repeated.count() // SHARD_KEYS))
-
-            def build(table: pa.Table) -> pa.Table:
-                one, two, keeper = (table.column(c).to_numpy() for c in ("one", "two", "keeper"))
-                order = np.lexsort((two, one))
-                one, two, keeper = one[order], two[order], keeper[order]
-                held = CuckooFilter.of(one.view(np.uint64))
-                return pa.table({"shard": table.column("shard")[:1], "filter": pa.array([held.table.tobytes()], pa.binary()), "keys": pa.array([one.tobytes() + two.tobytes()], pa.binary()), "keepers": pa.array([keeper.tobytes()], pa.binary())})
-
             rows = repeated.withColumn("shard", F.pmod("one", F.lit(number)).cast("int"))
-            made = rows.groupBy("shard").applyInArrow(build, "shard int, filter binary, keys binary, keepers binary")
-            self._shards = self.store.put(made, "shards"), number
+            self._shards = self.store.put(rows.groupBy("shard").applyInArrow(build_shard, SHARD), "shards"), number
         return self._shards
 
     def dropped(self) -> DataFrame:
@@ -215,10 +292,8 @@ class LineIndex:
             doc, one, two = (lines.column(c).to_numpy() for c in ("doc", "one", "two"))
             drop = np.zeros(len(doc), bool)
             if shard.num_rows:
-                table = np.frombuffer(shard.column("filter")[0].as_py(), np.uint16).reshape(-1, CuckooFilter.SLOTS)
-                hit = np.flatnonzero(CuckooFilter(0, table).contains(one.view(np.uint64)))
-                keys = np.frombuffer(shard.column("keys")[0].as_py(), np.int64).reshape(2, -1)
-                keepers = np.frombuffer(shard.column("keepers")[0].as_py(), np.int64)
+                held, keys, keepers = read_shard(shard)
+                hit = np.flatnonzero(held.contains(one.view(np.uint64)))
                 at = np.searchsorted(keys[0], one[hit])
                 for _ in range(2 + int((np.diff(keys[0]) == 0).sum())):  # keys may share one hash, not both
                     inside = at < len(keepers)
