@@ -33,7 +33,7 @@ def byte_spans(s: Slice, length: int) -> R.Spans:
     return R.Spans(byte_grams(s.data), s.offsets, length, GRAM, lambda first, size: K.span_hash(s.data, first, size))
 
 
-def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram: np.ndarray, lead: np.ndarray, twice: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram: np.ndarray, lead: np.ndarray, twice: np.ndarray, length: int, string_bytes: int = STRING_BYTES) -> np.ndarray:
     """For each window of each span, one after another: does it start anywhere else?
 
     gram: of each span's anchor; lead: bytes before the anchor; twice: the span stands for several.
@@ -76,7 +76,7 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram
         owner, family, offset, width = owner[order], family[order], offset[order], width[order]
         at = np.flatnonzero(np.append(True, family[1:] != family[:-1]))[: len(family)]
         many = np.diff(at, append=len(family))
-        large = np.repeat(np.add.reduceat(width + length, at) > STRING_BYTES, many) if len(at) else np.zeros(0, bool)
+        large = np.repeat(np.add.reduceat(width + length, at) > string_bytes, many) if len(at) else np.zeros(0, bool)
         ready = np.repeat(many > 1, many) & ~large
         mark_by_suffix_array(data, start, owner[ready], offset[ready], width[ready], family[ready], length, first, out)
         owner, offset, width, family = owner[large], offset[large], width[large], family[large]
@@ -147,26 +147,21 @@ def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return same
 
 
+def close_records(s: Slice, spans: R.Spans, code: np.ndarray, groups: int, length: int) -> R.Records:
+    return R.Records(spans, code, groups, length, lambda at, size: K.span_hash(s.data, at, size), 22)
+
+
 def send_close(s: Slice, spans: R.Spans, code: np.ndarray, groups: int, length: int) -> Iterator[tuple[int, list[bytes]]]:
-    close = np.flatnonzero(code & R.CLOSE)
-    for group, at in R.cut_by_group((spans.gram[close] >> np.uint64(32)).astype(np.int64) * groups >> 32):
-        kind = close[at]
-        pick = spans.sample[kind]
-        start, size = spans.first[pick], spans.last[pick] - spans.first[pick] + length
-        yield group, [shrink(spans.gram[kind]), shrink(size), shrink(spans.anchor[pick] - start), shrink((code[kind] & R.WHOLE).astype(bool)), shrink(K.gather(s.data, start, size))]
+    r = close_records(s, spans, code, groups, length)
+    for group, at in R.cut_by_group(r.group):
+        size = r.windows[at] + length - 1
+        yield group, [shrink(r.key[at]), shrink(size), shrink(r.lead[at]), shrink((code[r.kind[at]] & R.WHOLE).astype(bool)), shrink(K.gather(s.data, r.start[at], size))]
 
 
-def judge_close(rows: list, length: int) -> Iterator[tuple[int, bytes]]:
-    gram, size, lead, twice, data = (np.concatenate([grow(b[i], k) for _, b in rows]) for i, k in enumerate((np.uint64, np.int64, np.int64, bool, np.uint8)))
-    windows = size - length + 1
-    found = repeated_windows(data, np.cumsum(size) - size, size, gram, lead, twice, length)
-    ends = np.cumsum(windows)
-    at = low = 0
-    for key, blobs in rows:
-        at += int.from_bytes(blobs[0][:8], "little") // 8
-        high = int(ends[at - 1])
-        yield key, shrink(np.packbits(found[low:high]))
-        low = high
+def judge_close(rows: list, length: int, string_bytes: int) -> Iterator[tuple[int, bytes]]:
+    key, size, lead, twice, data = (np.concatenate([grow(b[i], k) for _, b in rows]) for i, k in enumerate((np.uint64, np.int64, np.int64, bool, np.uint8)))
+    found = repeated_windows(data, np.cumsum(size) - size, size, key, lead, twice, length, string_bytes)
+    yield from R.by_slice(rows, size - length + 1, found)
 
 
 def removed(s: Slice, length: int, close_groups: int) -> np.ndarray:
@@ -175,20 +170,11 @@ def removed(s: Slice, length: int, close_groups: int) -> np.ndarray:
     code = R.codes(spans, s.verdicts["verdict_spans"])
     whole = np.flatnonzero(code[spans.kind] & R.WHOLE)
     gone = R.covered(len(s.data), spans.first[whole], spans.last[whole] + length - spans.first[whole])
-    close = np.flatnonzero(code & R.CLOSE)
-    if len(close):
-        start = spans.first[spans.sample[close]]
-        windows = spans.last[spans.sample[close]] - start + 1
-        # the blobs of the groups ascend by group, as the close pairs do
-        sent, bits, low = s.verdicts["verdict_close"], [], 0
-        group = (spans.gram[close] >> np.uint64(32)).astype(np.int64) * close_groups >> 32
-        for g in sorted(sent):
-            part = int(np.searchsorted(group, g, "right"))
-            bits.append(np.unpackbits(grow(sent[g], np.uint8), count=int(windows[low:part].sum())).astype(bool))
-            low = part
-        hit = np.concatenate(bits)
-        place = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(len(hit))
-        gone |= R.covered(len(s.data), place[hit], length)
+    if (code & R.CLOSE).any():
+        hit, first = close_records(s, spans, code, close_groups, length).hits(spans, s.verdicts["verdict_close"])
+        at = np.flatnonzero(hit)
+        kind = np.searchsorted(first, at, "right") - 1
+        gone |= R.covered(len(s.data), spans.first[spans.sample[kind]] + at - first[kind], length)
     return gone
 
 
@@ -200,7 +186,7 @@ def with_characters(gone: np.ndarray, data: np.ndarray, offsets: np.ndarray) ->
     return (np.bincount(character, weights=gone) > 0)[character] if len(data) else gone
 
 
-def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text", as_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text", as_text: bool = False, string_bytes: int = STRING_BYTES, heavy_spans: int = R.HEAVY_SPANS) -> DataFrame:
     """Removes every byte of a text that lies in a string of ``length`` bytes that also starts elsewhere.
 
     Elsewhere is any other place of any row, the same row included; overlaps count, and strings are
@@ -222,8 +208,8 @@ def dedup_substrings(docs: DataFrame, length: int = 200, text_col: str = "text",
         spans = byte_spans(s, length)
         return send_close(s, spans, R.codes(spans, s.verdicts["verdict_spans"]), close_groups, length)
 
-    once = judged(sliced, emit_spans, lambda rows: R.judge_spans(rows, False), "spans", store)
-    twice = judged(once, emit_close, lambda rows: judge_close(rows, length), "close", store)
+    once = judged(sliced, emit_spans, lambda rows: R.judge_spans(rows, False, heavy_spans), "spans", store)
+    twice = judged(once, emit_close, lambda rows: judge_close(rows, length, string_bytes), "close", store)
     names = ("kept", "n_bytes", "n_removed", "n_spans")
     others = [c for c in docs.columns if c != text_col]
     kind = docs.select(F.struct(*others).alias("row")).schema["row"].dataType.simpleString()
