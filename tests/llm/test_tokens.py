@@ -101,3 +101,26 @@ def test_smallest_gives_way_to_two_that_fit_more_tightly():
     assert fills[0] == ([60, 30], 1) or sum(fills[0][0]) > 90
     counts = np.bincount([50, 40, 29, 20], minlength=101)  # 50 + 40 leaves 10; 29 + 20 fits the place of 40
     assert packing.best_two_fit(counts, 100)[0] == ([50, 29, 20], 1)
+
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_packing_ids_are_the_tokenizers_own():
+    """Added tokens in plain text are matched first, white space of any kind and odd letters included."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole, library = Tokenizer.from_file(JSON), bpe.library(JSON)
+    rng = random.Random(1)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "\t", "'s", "'ll", "hello", " World", "12", "½", "é", "日本", "\u00a0", "\u2003", "\u3000", "\u0085", "\u200b", "😀", "\u0301", "\x1c", "\x00", "!"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", ""]
+    data, offsets = K.text_buffers(pa.array(texts))
+    got = [ids[a:b].tolist() for _, _, _, ids, at in bpe.encode([(None, data, offsets)], library, slice_bytes=3000, added=library.vocab.added) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_that_are_not_utf8_are_refused():
+    with pytest.raises(ValueError, match="UTF-8"):
+        bpe.pretokens(np.array([0x61, 0xFF, 0x62], np.uint8), np.array([0, 3]))
