@@ -56,18 +56,19 @@ def _stimuli(spark, sf, head, one):
     return X.write_lines(lines.withColumn("n", F.lit(1)).unionByName(ends), f"{X.folder(spark)}/stimuli.xml")
 
 
-_RESPONSE = [F.lit('<response word="c'), F.col("c_custkey").cast("string")]
+def _response(*attributes):
+    return F.concat(F.lit('<response word="c'), F.col("c_custkey").cast("string"), *attributes)
 
 
 @query("a10_counted_xml", "SELECT 'n' || c_nationkey AS cue, 'c' || c_custkey AS resp, round((c_custkey % 9 + 1) / CAST(count(*) OVER (PARTITION BY c_nationkey) AS DOUBLE), 6) AS strength FROM customer")
 def a10(spark, sf):
-    at = _stimuli(spark, sf, F.concat(F.lit('" all="'), F.col("total").cast("string")), F.concat(*_RESPONSE, F.lit('" n="'), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit('"></response>')))
+    at = _stimuli(spark, sf, F.concat(F.lit('" all="'), F.col("total").cast("string")), _response(F.lit('" n="'), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit('"></response>')))
     return R.association_xml(spark, at, "all", "n").select("cue", "resp", F.round("strength", 6).alias("strength"))
 
 
 @query("a11_grouped_xml", "SELECT 'n' || c_nationkey AS cue, 'c' || c_custkey AS resp, round((c_custkey % 9 + 1) / CAST(c_custkey % 4 + 10 AS DOUBLE), 6) AS strength FROM customer")
 def a11(spark, sf):
-    at = _stimuli(spark, sf, F.lit(""), F.concat(*_RESPONSE, F.lit('" p="'), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit('" g="'), (F.col("c_custkey") % 4 + 10).cast("string"), F.lit('"></response>')))
+    at = _stimuli(spark, sf, F.lit(""), _response(F.lit('" p="'), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit('" g="'), (F.col("c_custkey") % 4 + 10).cast("string"), F.lit('"></response>')))
     return R.association_xml(spark, at, "g", "p").select("cue", "resp", F.round("strength", 6).alias("strength"))
 
 
