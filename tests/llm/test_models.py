@@ -87,6 +87,31 @@ def test_fingerprints(spark, odd, none):
     assert alone[0].near_next == 1.0
 
 
+def test_near_copies_that_are_a_third_of_all_documents_keep_their_terms(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: [f"t{k}" for k in rng.integers(0, 4000, n)]
+    base, rows = draw(120), []
+    for i in range(600):
+        words = list(base) if i % 3 == 0 else draw(120)
+        if i % 3 == 0:
+            words[rng.integers(120)] = f"edit{i}"
+        rows.append((i, " ".join(["the", "of", "and", *words])))
+    got = imatch.imatch(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    hot = [r for r in got if r.doc_id % 3 == 0]
+    assert len(got) == 600 and not any(r.fingerprint.startswith("=") for r in got)
+    # half of a text is replaced: near copies are found again about as often as texts without copies
+    again = [np.mean([r.near_edited > 0.2 for r in got if (r.doc_id % 3 == 0) == kind]) for kind in (True, False)]
+    assert again[1] > 0.6 and again[0] > 0.9 * again[1]
+    assert np.mean([r.near_next for r in got if r.doc_id % 3]) < 0.05
+    # two near copies share most slots, and a word that all documents have is in no lexicon
+    one, two = (hot[k].fingerprint for k in (0, 1))
+    assert np.mean([a == b for a, b in zip(one.split("."), two.split("."), strict=True)]) > 0.8
+    store = imatch.Store(spark, "test")
+    kept = {r.term for r in imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string"), store).collect()}
+    code = {r.w: r.h for r in spark.createDataFrame([(w,) for w in ("the", base[0])], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    assert code["the"] not in kept and code[base[0]] in kept
+
+
 def brute(ids, x, query_ids, k):
     out = {}
     for i in query_ids:

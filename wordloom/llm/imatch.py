@@ -5,6 +5,9 @@ it, distinct and sorted, are hashed once for each of several random subsets of t
 subsets survive edits of large parts of a text, large ones tell close texts apart. Two fingerprints
 are as alike as their shares of equal slots among those that either text fills.
 
+Near copies that hold a large share of all documents would push their own terms out of the band; so
+a term's documents of equal ``sketch`` count once at its upper end.
+
 The lexicon's size does not grow with the corpus: the shares of documents of its terms sum to at most
 a document's mean number of distinct terms, so it has at most that mean / ``min_share`` terms. It is
 counted, and beyond ``broadcast_terms`` the lookup is a sort-merge join.
@@ -31,20 +34,36 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
 
 
-def lexicon(texts: DataFrame, min_share: float = 1 / 2000, max_share: float = 1 / 10, text_col: str = "text") -> DataFrame:
+def sketch(text: Column) -> Column:
+    """The smallest hash of three words in a row: most near copies share one of few, unrelated texts none."""
+    word = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    tail = lambda k: F.slice(word, F.lit(k), F.greatest(F.size(word), F.lit(1)))
+    two = F.zip_with(word, tail(2), lambda a, b: F.xxhash64(a, b))
+    return F.array_min(F.zip_with(two, tail(3), lambda a, b: F.xxhash64(a, b)))
+
+
+def lexicon(texts: DataFrame, store: Store, min_share: float = 1 / 2000, max_share: float = 1 / 10, text_col: str = "text", broadcast_terms: int = 1_000_000) -> DataFrame:
     """``term long, mask long``: hashes of the terms in the band, and the subsets that have each.
 
     A term needs ``min_share`` of all documents (and two at least) and ``max_share`` at most (where
-    that is under two documents: two).
+    that is under two documents: two). Beyond ``max_share`` documents are counted by their distinct
+    sketches (to 5 %), so copies and most near copies count once.
     """
     total = texts.count()
     low, high = max(2, int(min_share * total)), max(2, int(max_share * total))
     counts = texts.select(F.explode(terms(F.col(text_col))).alias("w")).groupBy(F.xxhash64("w").alias("term")).agg(F.count("*").alias("n"))
+    counts = store.put(counts.where(F.col("n") >= low), "counts")
+    often = counts.where(F.col("n") > high).select("term")
+    # at most a document's mean number of distinct terms / max_share
+    side = often.hint("broadcast" if often.count() <= broadcast_terms else "merge")
+    held = texts.select(sketch(F.col(text_col)).alias("sketch"), F.explode(terms(F.col(text_col))).alias("w")).select(F.xxhash64("w").alias("term"), "sketch")
+    copied = held.join(side, "term").groupBy("term").agg(F.approx_count_distinct("sketch").alias("n")).where(F.col("n") <= high).select("term")
+    inside = counts.where(F.col("n") <= high).select("term").unionByName(copied)
     mask = F.lit(0).cast("long")
     for j, p in enumerate(POWERS):
         chosen = F.pmod(F.xxhash64("term", F.lit(j)), F.lit(1 << p)) == 0
         mask = mask.bitwiseOR(F.when(chosen, F.lit(1 << j)).otherwise(F.lit(0)).cast("long"))
-    return counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("term", mask.alias("mask"))
+    return inside.select("term", mask.alias("mask"))
 
 
 def slots(rows: DataFrame, keys: list[str], words: DataFrame, small: bool, text_col: str = "text") -> DataFrame:
@@ -113,7 +132,7 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc IS NOT NULL")
     sizes = store.put(rows.select("doc", F.length("text").cast("long").alias("n_chars"), text_key(F.col("text")).alias("key")).distinct(), "sizes")
     pairs = store.put(followers(sizes.select("doc").distinct(), store), "pairs")
-    words = store.put(lexicon(rows, min_share, max_share), "lexicon")
+    words = store.put(lexicon(rows, store, min_share, max_share, "text", broadcast_terms), "lexicon")
     small = words.count() <= broadcast_terms
 
     # of the next document only as many code points are moved as some row before it takes
