@@ -1,9 +1,12 @@
 """Toxicity, fingerprints and nearest neighbours."""
 
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.llm import imatch, neighbours, toxicity
 
@@ -112,6 +115,39 @@ def test_near_copies_that_are_a_third_of_all_documents_keep_their_terms(spark):
     assert code["the"] not in kept and code[base[0]] in kept
 
 
+def slots_by_hand(rows, low, high):
+    """Fingerprints of ``(id, text)`` by plain sets, with hashes given by the expressions of the module."""
+    words = {i: {w for w in re.split(r"[^\w]|_", t.lower()) if w} for i, t in rows}
+    df = Counter(w for ws in words.values() for w in ws)
+    return {i: {w for w in ws if low <= df[w] <= high} for i, ws in words.items()}
+
+
+def test_fingerprints_against_plain_sets(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join([*rng.choice(["the", "of", "and", "to", "in"], 3, replace=False), *(f"w{k}" for k in rng.integers(0, 400, 8))])) for i in range(120)]
+    rows += [(200 + i, rows[i][1]) for i in range(5)]
+    got = {r.doc_id: r for r in imatch.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    band = slots_by_hand(rows, 2, 12)
+    # equal sets of band terms have equal fingerprints; a slot is equal where the subsets' terms are
+    every = {i: frozenset(b) for i, b in band.items()}
+    for i in every:
+        for j in every:
+            if every[i] and every[i] == every[j] and not got[i].fingerprint.startswith("="):
+                assert got[i].fingerprint == got[j].fingerprint
+    terms = sorted(set().union(*every.values()))
+    table = spark.createDataFrame([(w,) for w in terms], "w string")
+    where = {r.w: set(r.at) for r in table.select("w", imatch.subsets(F.xxhash64("w")).alias("at")).collect()}
+    prints = {i: got[i].fingerprint.split(".") for i in every if not got[i].fingerprint.startswith("=")}
+    assert len(prints) > 100
+    for k in range(len(imatch.POWERS)):
+        held = {i: frozenset(w for w in every[i] if k in where[w]) for i in prints}
+        by_set, by_print = {}, {}
+        for i in prints:
+            assert (prints[i][k] == "-") == (not held[i])
+            assert by_set.setdefault(held[i], prints[i][k]) == prints[i][k]
+            assert by_print.setdefault(prints[i][k], held[i]) == held[i]
+
+
 def brute(ids, x, query_ids, k):
     out = {}
     for i in query_ids:

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
-#: A term is in a subset with probability 2 ** -power; eight subsets of each power.
+#: A term is in a subset with probability 2 ** -power; eight subsets of each power, without common terms.
 EACH = 8
-POWERS = tuple(p for p in (3, 4, 5, 6, 7, 8) for _ in range(EACH))
+SIZES = (3, 4, 5, 6, 7, 8)
+POWERS = tuple(p for p in SIZES for _ in range(EACH))
 
 
 def terms(text: Column) -> Column:
@@ -34,16 +35,32 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
 
 
+def draw(term: Column, size: int) -> Column:
+    """A number below ``2 ** SIZES[size]`` from eight bits of the term's hash of its own; below ``EACH`` it is a subset's."""
+    return F.shiftrightunsigned(term, 8 * size).bitwiseAND((1 << SIZES[size]) - 1)
+
+
+def subsets(term: Column) -> Column:
+    """The numbers of the subsets that hold a term."""
+    held = [F.when(draw(term, k) < EACH, draw(term, k) + EACH * k) for k in range(len(SIZES))]
+    return F.filter(F.array(*held), lambda j: j.isNotNull())
+
+
 def sketch(text: Column) -> Column:
     """The smallest hash of three words in a row: most near copies share one of few, unrelated texts none."""
-    word = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
-    tail = lambda k: F.slice(word, F.lit(k), F.greatest(F.size(word), F.lit(1)))
-    two = F.zip_with(word, tail(2), lambda a, b: F.xxhash64(a, b))
-    return F.array_min(F.zip_with(two, tail(3), lambda a, b: F.xxhash64(a, b)))
+
+    def smallest(word: Column) -> Column:
+        tail = lambda k: F.slice(word, F.lit(k), F.greatest(F.size(word), F.lit(1)))
+        two = F.zip_with(word, tail(2), lambda a, b: F.xxhash64(a, b))
+        return F.array_min(F.zip_with(two, tail(3), lambda a, b: F.xxhash64(a, b)))
+
+    # an array of one array, so that a text is split once
+    once = F.array(F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w)))
+    return F.transform(once, smallest)[0]
 
 
 def lexicon(texts: DataFrame, store: Store, min_share: float = 1 / 2000, max_share: float = 1 / 10, text_col: str = "text", broadcast_terms: int = 1_000_000) -> DataFrame:
-    """``term long, mask long``: hashes of the terms in the band, and the subsets that have each.
+    """``term long``: hashes of the terms in the band.
 
     A term needs ``min_share`` of all documents (and two at least) and ``max_share`` at most (where
     that is under two documents: two). Beyond ``max_share`` documents are counted by their distinct
@@ -56,14 +73,12 @@ def lexicon(texts: DataFrame, store: Store, min_share: float = 1 / 2000, max_sha
     often = counts.where(F.col("n") > high).select("term")
     # at most a document's mean number of distinct terms / max_share
     side = often.hint("broadcast" if often.count() <= broadcast_terms else "merge")
-    held = texts.select(sketch(F.col(text_col)).alias("sketch"), F.explode(terms(F.col(text_col))).alias("w")).select(F.xxhash64("w").alias("term"), "sketch")
+    # in a projection of its own the sketch is worked out once a text, not once a term
+    held = texts.select(sketch(F.col(text_col)).alias("sketch"), terms(F.col(text_col)).alias("words"))
+    held = held.select("sketch", F.explode("words").alias("w")).select(F.xxhash64("w").alias("term"), "sketch")
     copied = held.join(side, "term").groupBy("term").agg(F.approx_count_distinct("sketch").alias("n")).where(F.col("n") <= high).select("term")
     inside = counts.where(F.col("n") <= high).select("term").unionByName(copied)
-    mask = F.lit(0).cast("long")
-    for j, p in enumerate(POWERS):
-        chosen = F.pmod(F.xxhash64("term", F.lit(j)), F.lit(1 << p)) == 0
-        mask = mask.bitwiseOR(F.when(chosen, F.lit(1 << j)).otherwise(F.lit(0)).cast("long"))
-    return inside.select("term", mask.alias("mask"))
+    return inside
 
 
 def slots(rows: DataFrame, keys: list[str], words: DataFrame, small: bool, text_col: str = "text") -> DataFrame:
@@ -73,13 +88,18 @@ def slots(rows: DataFrame, keys: list[str], words: DataFrame, small: bool, text_
     """
     long = rows.select(*keys, F.explode(terms(F.col(text_col))).alias("w")).select(*keys, F.xxhash64("w").alias("term"))
     found = long.join(words.hint("broadcast" if small else "merge"), "term")
-    sets = found.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("term", "mask"))).alias("terms"))
+    sets = found.groupBy(*keys).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+
+    def of_size(k: int) -> Column:
+        def slot(some: Column, j: Column) -> Column:
+            held = F.filter(some, lambda t: draw(t, k) == j)
+            return F.when(F.size(held) > 0, F.xxhash64(held))
 
-    def slot(j: Column) -> Column:
-        held = F.filter("terms", lambda t: F.getbit(t["mask"], j) == 1)
-        return F.when(F.size(held) > 0, F.xxhash64(F.transform(held, lambda t: t["term"])))
+        # terms of any subset of the size first, once
+        some = F.array(F.filter("terms", lambda t: draw(t, k) < EACH))
+        return F.flatten(F.transform(some, lambda ts: F.transform(F.sequence(F.lit(0), F.lit(EACH - 1)), lambda j: slot(ts, j))))
 
-    return sets.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(len(POWERS) - 1)), slot).alias("slots"))
+    return sets.select(*keys, F.concat(*(of_size(k) for k in range(len(SIZES)))).alias("slots"))
 
 
 def spelled(slots_col: Column, key_a: Column) -> Column:
