@@ -81,30 +81,35 @@ def lexicon(texts: DataFrame, store: Store, min_share: float = 1 / 2000, max_sha
     return inside
 
 
-def slots(rows: DataFrame, keys: list[str], words: DataFrame, small: bool, text_col: str = "text") -> DataFrame:
-    """``keys, slots array<long>`` for rows with a lexicon term; an unfilled slot is null.
+def slots(rows: DataFrame, keys: list[str], words: DataFrame, small: bool, texts: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``keys`` and for each column of ``texts`` its slots, ``<column>_slots array<long>``, for rows with a lexicon term in any of them.
 
-    Sets are merged in each task before the shuffle, so a key of many rows sends a set per task.
+    An unfilled slot is null, and so is the array of a text without a lexicon term. Rows that are dealt by
+    ``keys`` already are not shuffled while the lexicon is small.
     """
-    long = rows.select(*keys, F.explode(terms(F.col(text_col))).alias("w")).select(*keys, F.xxhash64("w").alias("term"))
+    each = rows.select(*keys, F.posexplode(F.array(*(terms(F.col(t)) for t in texts))).alias("side", "words"))
+    long = each.select(*keys, "side", F.explode("words").alias("w")).select(*keys, "side", F.xxhash64("w").alias("term"))
     found = long.join(words.hint("broadcast" if small else "merge"), "term")
-    sets = found.groupBy(*keys).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    sets = found.groupBy(*keys).agg(*(F.sort_array(F.collect_set(F.when(F.col("side") == i, F.col("term")))).alias(t) for i, t in enumerate(texts)))
 
-    def of_size(k: int) -> Column:
+    def of_size(held: Column, k: int) -> Column:
         def slot(some: Column, j: Column) -> Column:
             held = F.filter(some, lambda t: draw(t, k) == j)
-            return F.when(F.size(held) > 0, F.xxhash64(held))
+            return F.when(F.size(held) > 0, F.xxhash64(held).bitwiseAND(0xFFFFFFFF))
 
         # terms of any subset of the size first, once
-        some = F.array(F.filter("terms", lambda t: draw(t, k) < EACH))
+        some = F.array(F.filter(held, lambda t: draw(t, k) < EACH))
         return F.flatten(F.transform(some, lambda ts: F.transform(F.sequence(F.lit(0), F.lit(EACH - 1)), lambda j: slot(ts, j))))
 
-    return sets.select(*keys, F.concat(*(of_size(k) for k in range(len(SIZES)))).alias("slots"))
+    def of_all(held: Column) -> Column:
+        return F.when(F.size(held) > 0, F.concat(*(of_size(held, k) for k in range(len(SIZES)))))
+
+    return sets.select(*keys, *(of_all(F.col(t)).alias(f"{t}_slots") for t in texts))
 
 
 def spelled(slots_col: Column, key_a: Column) -> Column:
     """The fingerprint as text: eight hexadecimal digits a slot; a text with no filled slot is spelled by its hash."""
-    text = F.array_join(F.transform(slots_col, lambda s: F.when(s.isNull(), F.lit("-")).otherwise(F.lpad(F.lower(F.hex(s.bitwiseAND(0xFFFFFFFF))), 8, "0"))), ".")
+    text = F.array_join(F.transform(slots_col, lambda s: F.when(s.isNull(), F.lit("-")).otherwise(F.lpad(F.lower(F.hex(s)), 8, "0"))), ".")
     filled = F.exists(slots_col, lambda s: s.isNotNull())
     return F.when(filled, text).otherwise(F.concat(F.lit("="), F.lpad(F.lower(F.hex(key_a)), 16, "0")))
 
@@ -162,16 +167,14 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     lead = lead.select(F.col("before").alias("doc"), F.substring("text", F.lit(1), F.col("need")).alias("lead")).groupBy("doc").agg(F.min("lead").alias("lead"))
     size = F.length("text")
     cut = F.floor(size / 2).cast("int")
-    edited = rows.join(lead, "doc").select("doc", text_key(F.col("text")).alias("key"), F.concat(F.substring("text", F.lit(1), size - cut), F.substring("lead", F.lit(1), cut)).alias("text"))
-    base = edited.select("doc", "key", F.xxhash64("text").alias("edited_key"), F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256")).distinct()
-
-    own = store.put(slots(rows.select(text_key(F.col("text")).alias("key"), "text"), ["key"], words, small), "own")
-    other = slots(edited, ["doc", "key"], words, small).withColumnRenamed("slots", "edited_slots")
-    made = store.put(base.join(other, ["doc", "key"], "left").select("doc", "key", "edited_sha256", spelled(F.col("edited_slots"), F.col("edited_key")).alias("edited_fingerprint")), "made")
-    prints = sizes.join(own, "key", "left").select("doc", "key", "n_chars", spelled(F.col("slots"), F.col("key.a")).alias("fingerprint"))
+    # rows are dealt by id from here on: both texts' terms are looked up and gathered where they are
+    edited = rows.join(lead, "doc").select("doc", text_key(F.col("text")).alias("key"), "text", F.concat(F.substring("text", F.lit(1), size - cut), F.substring("lead", F.lit(1), cut)).alias("edited"))
+    base = edited.select("doc", "key", F.length("text").cast("long").alias("n_chars"), F.xxhash64("edited").alias("edited_key"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).distinct()
+    both = base.join(slots(edited, ["doc", "key"], words, small, ("text", "edited")), ["doc", "key"], "left")
+    prints = both.select("doc", "key", "n_chars", "edited_sha256", spelled(F.col("text_slots"), F.col("key.a")).alias("fingerprint"), spelled(F.col("edited_slots"), F.col("edited_key")).alias("edited_fingerprint"))
     prints = store.put(prints, "prints")
     following = prints.groupBy("doc").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("doc", "next")
-    done = prints.join(made, ["doc", "key"]).join(pairs, "doc").join(following, "next")
+    done = prints.join(pairs, "doc").join(following, "next")
     return done.select(
         F.col("doc").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
