@@ -87,7 +87,7 @@ def a17(spark, sf):
     body = e.select(F.lit(1).alias("n"), F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id").cast("string")), F.array_join(F.transform(V.doubles(F.col("embedding")), lambda x: x.cast("string")), " ")).alias("line"))
     head = e.agg(F.count("*").alias("c"), F.max(F.size("embedding")).alias("d")).select(F.lit(0).alias("n"), F.concat_ws(" ", F.col("c").cast("string"), F.col("d").cast("string")).alias("line"))
     path = X.write_lines(head.unionByName(body), f"{X.folder(spark)}/vectors.txt")
-    return R.word_vectors(spark, path).select("w", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return R.word_vectors(spark, path).select("w", F.transform("v", lambda x: V.rounded(x, 6)).alias("v"))
 
 
 @query("a18_saved_tables", f"WITH {X.tok_sql()}, c AS (SELECT doc, w, count(*) AS tf FROM tok GROUP BY 1, 2), d AS (SELECT w, count(*) AS df FROM c GROUP BY w) SELECT doc, w, round(tf * log2((SELECT count(DISTINCT doc) FROM c) / df), 6) AS x FROM c JOIN d USING (w)")
