@@ -2,6 +2,11 @@
 
 import math
 
+from pyspark.sql import functions as F
+
+from wordloom.functions import text as T
+from wordloom.operators import lexical as L
+from wordloom.operators import models as M
 from wordloom.operators import pairs as P
 from wordloom.plans import registry
 
@@ -46,3 +51,50 @@ def test_vector_file_keeps_the_sign_of_zero(spark, tmp_path):
     at = put(spark, tmp_path, embeddings=([(1, [-1e-8, 0.5, -0.25], 0)], "vec_id long, embedding array<float>, label int"))
     (row,) = registry.queries()["a17_vector_file"](spark, at).collect()
     assert row.v == [0.0, 0.5, -0.25] and math.copysign(1, row.v[0]) == -1
+
+
+def exchanged(df):
+    """What the plan shuffles by, before statistics change it."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_words_are_counted_where_the_text_lies(spark):
+    texts = frame(spark, [(1, "b a B"), (2, ""), (3, None), (4, "x")], "id long, text string")
+    counts = P.word_counts(texts, "id")
+    assert got(counts) == [(1, "a", 1), (1, "b", 2), (4, "x", 1)] and not exchanged(counts)
+    assert got(P.word_counts(texts.unionByName(texts), "id")) == [(1, "a", 2), (1, "b", 4), (4, "x", 2)]
+    assert texts.select(T.bigrams(T.tokens(F.col("text")))).collect() == [(["b a", "a b"],), ([],), (None,), ([],)]
+
+
+def test_frequent_and_rare_keys_are_both_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(P, "HEAD", 1)
+    rows = frame(spark, [(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "a")], "doc long, w string")
+    table = frame(spark, [("a", 9), ("b", 1)], "w string, n long")
+    assert got(P.looked_up(rows, table, "w", "n").select("doc", "w", "n")) == [(1, "a", 9), (2, "b", 1), (5, "a", 9)]
+
+
+def test_naive_bayes_looks_rare_words_up(spark, monkeypatch):
+    monkeypatch.setattr(P, "HEAD", 1)
+    train = frame(spark, [(1, 0, "a", 3), (2, 1, "b", 2), (2, 1, "a", 1)], "doc long, label int, w string, n long")
+    test = frame(spark, [(5, "a", 2), (6, "b", 1), (7, "z", 1)], "doc long, w string, n long")
+    assert got(M.naive_bayes(train, test)) == [(5, 0), (6, 1), (7, 0)]
+
+
+def test_kinds_of_anchor_pairs_without_pairs(spark):
+    words = [(1, a, p, w) for a, t in ((1, "x y x z"), (2, "y x"), (5, "z z")) for p, w in enumerate(t.split())] + [(2, 1, 0, "x"), (3, 1, 0, "x"), (3, 2, 0, "x")]
+    rows = frame(spark, words, "doc long, anchor long, pos int, w string")
+    want = [r for kind, p in zip(("intra", "inter"), P.anchor_pairs(rows), strict=True) for r in p.groupBy(F.lit(kind), "doc").agg(F.count("*"), F.countDistinct("w1", "w2")).collect()]
+    assert got(P.anchor_pair_kinds(rows)) == sorted(map(tuple, want), key=str)
+
+
+def test_judgements_are_averaged_line_by_line(spark, tmp_path):
+    at = put(spark, tmp_path, lineitem=([(1, 1, 10.0), (1, 1, 20.0), (2, 1, None)], "l_partkey long, l_suppkey long, l_quantity double"))
+    found = registry.queries()["a07_evocation_mean"](spark, at)
+    assert got(found) == [(1, 1, 0.15), (2, 1, None)]
+
+
+def test_an_antonym_counts_after_its_earliest_opposite(spark):
+    docs, ant = frame(spark, [(1,), (2,)], "doc long"), frame(spark, [("a", "b"), ("a", "c")], "w string, opposite string")
+    words = frame(spark, [(1, i, w) for i, w in enumerate("c x a b a".split())], "doc long, pos int, w string")
+    found = L.antonym_count(docs, words, ant)
+    assert got(found) == [(1, 3), (2, 0)]

@@ -87,6 +87,23 @@ def n_grams(words: Column, n: int) -> Column:
     return F.when(number >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
+def counted(words: Column) -> Column:
+    """``array<struct<w, n>>``: each word of an array once, with how often it occurs, in order of the words."""
+
+    def runs(s: Column) -> Column:
+        # an array of one binds a value, which a lambda would otherwise work out again for each element
+        first = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return F.transform(F.array(first), lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("n"))))[0]
+
+    return F.transform(F.array(F.sort_array(words)), runs)[0]
+
+
+def bigrams(words: Column) -> Column:
+    """Each word and the next, with a space between."""
+    rest = lambda a: F.greatest(F.size(a) - 1, F.lit(0))
+    return F.transform(F.array(words), lambda a: F.zip_with(F.slice(a, F.lit(1), rest(a)), F.slice(a, F.lit(2), rest(a)), lambda x, y: F.concat(x, F.lit(" "), y)))[0]
+
+
 def sentence_words(docs: DataFrame) -> DataFrame:
     """``doc, sent, i, w`` of ``doc, text``: lower-case words by sentence."""
     sent = docs.select("doc", F.posexplode(F.split(F.lower("text"), "[.!?]+")).alias("sent", "s"))

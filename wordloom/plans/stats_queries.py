@@ -192,7 +192,7 @@ _NB = f"""WITH {X.tok_sql('documents', 'doc_id')}, c AS (SELECT doc, w, count(*)
 
 @query("c05_naive_bayes", _NB)
 def c05(spark, sf):
-    c = X.tok(spark, sf, "documents", "doc_id").groupBy("doc", "w").agg(F.count("*").alias("n"))
+    c = X.counts(spark, sf)
     y = X.table(spark, sf, "labels").select(F.col("doc_id").alias("doc"), F.col("toxic").alias("label"))
     return M.naive_bayes(c.join(y, "doc"), c)
 
