@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexical as L
+from ..operators import pairs as P
 from ..operators.ranking import numbered
 from ..sources import lines as S
 from . import fixtures as X
@@ -49,7 +50,7 @@ def a06(spark, sf):
 @query("a07_evocation_mean", "SELECT l_partkey AS a, l_suppkey AS b, round(avg(l_quantity) / 100, 6) AS strength FROM lineitem GROUP BY 1, 2")
 def a07(spark, sf):
     li = X.table(spark, sf, "lineitem")
-    judged = li.groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.concat_ws(" ", F.collect_list(F.col("l_quantity").cast("string"))).alias("scores"))
+    judged = li.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_quantity").cast("string").alias("scores"))  # a line a judgement
     return S.mean_judgements(judged).select("a", "b", F.round("strength", 6).alias("strength"))
 
 
@@ -139,15 +140,17 @@ def b09(spark, sf):
 
 @query("b11_ngram_counts", "WITH " + X.tok_sql("documents", "doc_id") + ", g AS (SELECT doc, w || ' ' || lead(w) OVER (PARTITION BY doc ORDER BY pos) AS ngram FROM tok) SELECT ngram, count(*) AS n, count(DISTINCT doc) AS docs FROM g WHERE ngram IS NOT NULL GROUP BY ngram")
 def b11(spark, sf):
-    words = X.table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("words"))
-    g = words.select("doc_id", F.explode(T.n_grams(F.col("words"), 2)).alias("ngram"))
-    return g.groupBy("doc_id", "ngram").agg(F.count("*").alias("c")).groupBy("ngram").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    d = X.table(spark, sf, "documents")
+    g = d.select("doc_id", F.inline(T.counted(T.bigrams(T.tokens(F.col("text"))))).alias("ngram", "c"))
+    if not d.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        g = g.groupBy("doc_id", "ngram").agg(F.sum("c").alias("c"))
+    return g.groupBy("ngram").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
 @query("b14_min_document_frequency", "WITH " + X.tok_sql("documents", "doc_id") + " SELECT doc, w, count(*) AS n FROM tok WHERE w IN (SELECT w FROM tok GROUP BY w HAVING count(DISTINCT doc) >= 5) GROUP BY doc, w")
 def b14(spark, sf):
-    c = X.tok(spark, sf, "documents", "doc_id").groupBy("doc", "w").agg(F.count("*").alias("n"))
-    return c.join(c.groupBy("w").agg(F.count("*").alias("d")).where("d >= 5"), "w", "left_semi").select("doc", "w", "n")
+    c = X.counts(spark, sf)
+    return P.looked_up(c, c.groupBy("w").agg(F.count("*").alias("d")).where("d >= 5"), "w", "d").select("doc", "w", "n")
 
 
 @query("b15_length_normalise", "WITH " + X.tok_sql() + ", c AS (SELECT doc, w, count(*) AS n FROM tok GROUP BY 1, 2) SELECT doc, w, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc)), 6) AS x FROM c")

@@ -52,7 +52,7 @@ def null_literal(rows: DataFrame, column: str, default: float = 0.0) -> DataFram
 
 def mean_judgements(rows: DataFrame) -> DataFrame:
     """``strength``: the mean of space-separated scores over 100, by the pair ``a, b`` across all rows."""
-    return rows.select("a", "b", F.explode(F.split("scores", " ").cast("array<double>")).alias("s")).groupBy("a", "b").agg((F.avg("s") / 100).alias("strength"))
+    return rows.select("a", "b", F.explode_outer(F.split("scores", " ").cast("array<double>")).alias("s")).groupBy("a", "b").agg((F.avg("s") / 100).alias("strength"))
 
 
 def zip_lines(left: DataFrame, right: DataFrame) -> DataFrame:
