@@ -123,9 +123,9 @@ def b20(spark, sf):
 @query("b22_dict_vectoriser", f"WITH {X.tok_sql('documents', 'doc_id')}, v AS (SELECT DISTINCT w FROM tok WHERE substring(md5(CAST(doc AS VARCHAR)), 1, 1) < 'c') SELECT doc, w AS key, count(*) AS n FROM tok WHERE w IN (SELECT w FROM v) GROUP BY 1, 2")
 def b22(spark, sf):
     """Columns are those of the training fold, three quarters of all documents by a hash of the id."""
-    c = X.tok(spark, sf, "documents", "doc_id").groupBy("doc", F.col("w").alias("key")).agg(F.count("*").alias("n"))
+    c = X.counts(spark, sf).withColumnRenamed("w", "key")
     train = c.where(F.substring(F.md5(F.col("doc").cast("string").cast("binary")), 1, 1) < "c")
-    return c.join(train.select("key").distinct(), "key", "left_semi").select("doc", "key", "n")
+    return P.looked_up(c, train.groupBy("key").agg(F.count("*").alias("size")), "key", "size").select("doc", "key", "n")
 
 
 @query("b25_absent_features", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, -1) AS x FROM customer")
