@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import lexical as L
+from ..operators import pairs as P
 from ..operators import stats as S
 from ..sources import readers as R
 from . import fixtures as X
@@ -142,9 +144,9 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 def b01(spark, sf):
     """Sentences, words, tags of the distinct words in one lookup, regrouped by document in order."""
     d = X.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
-    words = T.sentence_words(d)
-    tags = words.select("w").distinct().withColumn("tag", X.tag(F.col("w")))
-    got = T.regrouped(d, T.tagged(words, tags).where(~F.col("w").isin(*X.STOPWORDS)))
+    words = T.sentence_words(d).where(~F.col("w").isin(*X.STOPWORDS))
+    tags = L.word_totals(d).withColumn("tag", X.tag(F.col("w")))
+    got = T.regrouped(d, P.looked_up(words, tags, "w", "c"))
     spelled = F.array_join(F.transform("tokens", lambda t: F.concat_ws("/", t["w"], t["tag"])), " ")
     return got.select("doc", F.size("tokens").cast("long").alias("n"), F.md5(spelled.cast("binary")).alias("h"))
 
