@@ -8,6 +8,7 @@ from wordloom.functions import text as T
 from wordloom.operators import lexical as L
 from wordloom.operators import models as M
 from wordloom.operators import pairs as P
+from wordloom.operators import words as W
 from wordloom.plans import registry
 
 
@@ -108,3 +109,31 @@ def test_perplexity_by_a_texts_own_counts(spark):
     want = {r.doc: r for r in L.perplexity(words, words.groupBy("w").agg(F.count("*").alias("n")), two).collect()}
     assert sorted(found) == sorted(want) == [1, 2]
     assert all(math.isclose(found[d][c], want[d][c]) for d in want for c in ("uni_logprob", "bi_logprob", "uni_ppl", "bi_ppl", "closed_ppl"))
+
+
+def test_words_of_texts_that_lie_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(W, "SLICE", 8)
+    texts = frame(spark, [(1, "ab cd"), (2, "cd"), (3, ""), (4, None), (None, "x\u00e9x \u212aX"), (5, "abcdefghijklm abcdefghijkl")], "id long, text string")
+    want = P.explode_tokens(texts, "id").groupBy("doc", "w").agg(F.count("*"))
+    assert got(P.word_counts(texts, "id")) == got(want)
+    assert got(L.word_totals(texts)) == got(P.explode_tokens(texts, "id").groupBy("w").agg(F.count("*")))
+
+
+def test_token_perplexity_shuffles_no_row_for_a_word(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "SLICE", 64), monkeypatch.setattr(W, "MEET", 20), monkeypatch.setattr(W, "HAND", 4)
+    texts = [(i, " ".join(("the", "of", "abcdefghijklm", f"w{chr(97 + i % 7)}", "The", "the")[(i * k) % 6] for k in range(1, i))) for i in range(30)] + [(30, None)]
+    at = put(spark, tmp_path, documents=(texts, "doc_id long, text string"))
+    found = registry.queries()["c24_token_perplexity"](spark, at)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    words = {d: t.lower().split() for d, t in texts if t}
+    uni, bi = {}, {}
+    for ws in words.values():
+        for b, w in zip([None, *ws], ws, strict=False):
+            uni[w] = uni.get(w, 0) + 1
+            bi[b, w] = bi.get((b, w), 0) + (b is not None)
+    pairs, every = sum(n > 0 for n in bi.values()), sum(uni.values()) + len(uni)
+    inverse = lambda b, w: every / (uni[w] + 1) if b is None else (uni[b] + pairs) / (bi[b, w] + 1)
+    want = {d: (len(ws), sum(inverse(b, w) for b, w in zip([None, *ws], ws, strict=False)) / len(ws)) for d, ws in words.items()}
+    out = {r.doc: (r.n, r.mean) for r in found.collect()}
+    assert sorted(out) == sorted(want)
+    assert all(out[d][0] == want[d][0] and math.isclose(out[d][1], want[d][1], abs_tol=0.0051) for d in want)

@@ -186,14 +186,7 @@ def c19(spark, sf):
 
 @query("c24_token_perplexity", Q._LM + " SELECT doc, count(*) AS n, round(avg(pow(10, -bp)), 2) AS mean FROM p GROUP BY doc")
 def c24(spark, sf):
-    t = X.tok(spark, sf, "documents", "doc_id")
-    uni = t.groupBy("w").agg(F.count("*").alias("n"))
-    seq = t.withColumn("b", F.lag("w").over(Window.partitionBy("doc").orderBy("pos")))
-    bi = seq.where("b IS NOT NULL").groupBy("b", "w").agg(F.count("*").alias("n2"))
-    total = uni.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).crossJoin(bi.agg(F.count("*").alias("pairs")))
-    rows = seq.join(uni, "w").join(bi, ["b", "w"], "left").join(uni.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b", "left").crossJoin(F.broadcast(total))
-    p = F.when(F.col("b").isNull(), (F.col("n") + 1) / (F.col("total") + F.col("kinds"))).otherwise((F.col("n2") + 1) / (F.col("nb") + F.col("pairs")))
-    return rows.groupBy("doc").agg(F.count("*").alias("n"), F.round(F.avg(1 / p), 2).alias("mean"))
+    return L.own_perplexity(X.table(spark, sf, "documents"), "doc_id").select("doc", "n", F.round("mean_inverse", 2).alias("mean"))
 
 
 @query("c28_nonzero_replacement", "SELECT c_custkey, CASE WHEN a = 0 AND b > 0 THEN b ELSE a END AS lo, CASE WHEN b = 0 AND a > 0 THEN a ELSE b END AS mid FROM (SELECT c_custkey, CAST(c_custkey % 3 AS DOUBLE) AS a, CAST(c_nationkey % 4 AS DOUBLE) AS b FROM customer)")
