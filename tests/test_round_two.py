@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
@@ -137,3 +138,20 @@ def test_token_perplexity_shuffles_no_row_for_a_word(spark, tmp_path, monkeypatc
     out = {r.doc: (r.n, r.mean) for r in found.collect()}
     assert sorted(out) == sorted(want)
     assert all(out[d][0] == want[d][0] and math.isclose(out[d][1], want[d][1], abs_tol=0.0051) for d in want)
+
+
+def test_chains_by_a_rule_are_those_of_its_table(spark, monkeypatch):
+    monkeypatch.setattr(W, "SLICE", 16)
+    table = {"ba": [["B", "A1"], ["B", "A2"]], "bo": [["B", "O1", "M"]], "hm": [["H", "M"]], "ma": [["M", "A1"]], "mm": [["M"], ["B", "A1"]], "zz": [], "yy": None}
+    rule = lambda words: pa.array([table[w] for w in words.to_pylist()], pa.list_(pa.list_(pa.string())))
+    texts = frame(spark, [(1, "ba bo hm ma, mm"), (2, "Ba ba zz yy"), (2, "ba ma"), (3, None), (4, "hm hm zz"), (5, "zz yy zz yy zz yy")], "id long, text string")
+    docs, prons = frame(spark, [(i,) for i in range(7)], "doc long"), frame(spark, list(table.items()), "w string, prons array<array<string>>")
+    want = got(L.chains(docs, P.explode_tokens(texts, "id"), prons))
+    assert got(L.chains_by_rule(docs, texts, "id", rule)) == want and any(r[1] and r[3] for r in want)
+
+
+def test_alliteration_shuffles_sums_of_keys(spark, tmp_path):
+    at = put(spark, tmp_path, documents=([(1, "Peter piper picked"), (2, "hm shy sky"), (3, None), (4, "")], "doc_id long, text string"))
+    found = registry.queries()["c02_alliteration_rhyme"](spark, at)
+    assert got(found) == [(1, 1, 3, 1, 3), (2, 1, 2, 1, 2), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)]
+    assert all("doc#" in line and " w#" not in line and "(w#" not in line for line in exchanged(found))

@@ -27,7 +27,7 @@ def lowered(texts: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
     return texts.select(*ids, F.coalesce(F.lower(F.col(text_col)), F.lit("")).alias("t"))
 
 
-def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets from 0, and bytes."""
     wide = np.int64 if pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type) else np.int32
     _, at, data = a.buffers()
@@ -38,7 +38,7 @@ def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Of lower-case texts: each word's row and its place among the different words, and those."""
-    offsets, raw = _bytes(texts)
+    offsets, raw = text_bytes(texts)
     letter = raw - np.uint8(97) < 26
     first, last = letter.copy(), letter.copy()
     first[1:] &= ~letter[:-1]
@@ -56,7 +56,7 @@ def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 def slices(batches):
     """The batches in runs of rows of ``SLICE`` bytes of text, or of one text."""
     for b in batches:
-        offsets, _ = _bytes(b.column("t"))
+        offsets, _ = text_bytes(b.column("t"))
         start = 0
         while start < b.num_rows:
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE, side="right")) - 1)
@@ -92,9 +92,35 @@ def totals(texts: DataFrame, text_col: str) -> DataFrame:
     return lowered(texts, None, text_col).mapInArrow(work, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def key_sums(texts: DataFrame, id_col: str, text_col: str, keys) -> DataFrame:
+    """``doc, kind, key, n``: how many words of each row of texts have a key.
+
+    keys: from an Arrow array of different words to their rows in it, kinds and keys; a word counts once for each of its keys.
+    """
+
+    def work(batches):
+        for b in slices(batches):
+            row, words, which = split(b.column("t"))
+            of, kind, key = keys(_strings(words))
+            kind, key = kind.dictionary_encode(), key.dictionary_encode()
+            kinds, names = kind.dictionary, key.dictionary
+            size = max(len(kinds) * len(names), 1)
+            own = np.unique(of.astype(np.int64) * size + kind.indices.to_numpy().astype(np.int64) * len(names) + key.indices.to_numpy())
+            of, code = np.divmod(own, size)
+            many = np.bincount(of, minlength=len(words))
+            times = many[which]  # a word's keys lie side by side
+            at = np.repeat((np.cumsum(many) - many)[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            cell, n = np.unique(np.repeat(row, times) * size + code[at], return_counts=True)
+            row, code = np.divmod(cell, size)
+            kind, key = np.divmod(code, max(len(names), 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), kinds.take(pa.array(kind)), names.take(pa.array(key)), pa.array(n, pa.int64())], ["doc", "kind", "key", "n"])
+
+    return lowered(texts, id_col, text_col).mapInArrow(work, f"doc {dict(texts.dtypes)[id_col]}, kind string, key string, n long")
+
+
 def numbers(words: pa.Array) -> np.ndarray:
     """A number for each word: its letters, five bits each, or over 12 letters 63 bits of a hash below a bit that is set."""
-    offsets, raw = _bytes(words)
+    offsets, raw = text_bytes(words)
     begin, size = offsets[:-1], np.diff(offsets)
     out = np.zeros(len(words), np.uint64)
     for i in range(12):
@@ -124,7 +150,7 @@ def _joined(batches, columns: dict[str, type]) -> dict[str, np.ndarray]:
     held = {c: [] for c in columns}
     for b in batches:
         for c in columns:
-            held[c].append(_bytes(b.column(c))[1].tobytes())
+            held[c].append(text_bytes(b.column(c))[1].tobytes())
     return {c: np.frombuffer(b"".join(held[c]), kind) for c, kind in columns.items()}
 
 
