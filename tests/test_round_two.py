@@ -155,3 +155,10 @@ def test_alliteration_shuffles_sums_of_keys(spark, tmp_path):
     found = registry.queries()["c02_alliteration_rhyme"](spark, at)
     assert got(found) == [(1, 1, 3, 1, 3), (2, 1, 2, 1, 2), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)]
     assert all("doc#" in line and " w#" not in line and "(w#" not in line for line in exchanged(found))
+
+
+def test_chain_counts_shuffle_sums_of_keys(spark, tmp_path):
+    at = put(spark, tmp_path, documents=([(1, "Peter piper picked"), (2, None), (3, "ab cb ad")], "doc_id long, text string"))
+    found = registry.queries()["c02b_chain_counts"](spark, at)
+    assert got(found) == [(1, 1, 1), (2, 0, 0), (3, 1, 1)]
+    assert all("doc#" in line and " w#" not in line and "(w#" not in line for line in exchanged(found))
