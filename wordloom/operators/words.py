@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 #: Bytes of text that are split at a time, words that meet in a task, and rows of what a task hands on.
-SLICE, MEET, HAND = 1 << 22, 2_000_000, 1 << 18
+SLICE, MEET, HAND = 1 << 22, 1_000_000, 1 << 18
 #: What stands for the next word after a text's last word, and for its first word by itself; no word has these numbers.
 LAST, FIRST = np.uint64(0), np.uint64((1 << 63) - 1)
 #: Stands for an id that is null.
@@ -151,7 +151,7 @@ def _joined(batches, columns: dict[str, type]) -> dict[str, np.ndarray]:
     for b in batches:
         for c in columns:
             held[c].append(text_bytes(b.column(c))[1].tobytes())
-    return {c: np.frombuffer(b"".join(held[c]), kind) for c, kind in columns.items()}
+    return {c: np.frombuffer(b"".join(held.pop(c)), kind) for c, kind in columns.items()}
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -194,14 +194,14 @@ def two_in_a_row(t: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {c: np.concatenate([p[k] for p in parts]).astype(kind) for k, (c, kind) in enumerate(PAIR.items())}
 
 
-def own_sums(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, n, uni, bi, inverse``: a text's words, and over them the sums of log10 of their add-one probabilities by one
-    word and by two, and of 1 over the latter; counts are those of the same texts.
+def own_sums(texts: DataFrame, id_col: str, text_col: str, of: tuple[str, ...]) -> DataFrame:
+    """``doc, n`` and those of ``uni, bi, inverse`` that are asked for: a text's words, and over them the sums of log10 of
+    their add-one probabilities by one word and by two, and of 1 over the latter; counts are those of the same texts.
 
     Pairs of a word and the next meet by the first, packed, so its number is known where theirs are. Frequent words would
     fill a task: their numbers are taken before, and their pairs are dealt by both words.
     """
-    spark = texts.sparkSession
+    spark, sums = texts.sparkSession, {x: SUMS[x] for x in ("doc", "n", *of)}
     if dict(texts.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{id_col} must be a whole number")
     c = cut(totals(texts, text_col))
@@ -236,12 +236,13 @@ def own_sums(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         out = (doc, n, np.repeat(c2, np.diff(both, append=len(b))), np.repeat(count, np.diff(first, append=len(b))))
         known = [int((c2 > 0).sum()), int((~held).sum()), int(n.sum())]
         for i in range(0, len(b), HAND):
-            packed = [pa.array([x[i : i + HAND].astype(kind).tobytes()], pa.binary()) for x, kind in zip(out, SIZED.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*packed, *(pa.array([x if i == 0 else 0], pa.int64()) for x in known)], [*SIZED, "pairs", "kinds", "total"])
+            packed = [pa.array([pa.compress(x[i : i + HAND].astype(kind).tobytes(), codec="zstd", asbytes=True)], pa.binary()) for x, kind in zip(out, SIZED.values(), strict=True)]
+            rest = [min(HAND, len(b) - i), *(known if i == 0 else (0, 0, 0))]
+            yield pa.RecordBatch.from_arrays([*packed, *(pa.array([x], pa.int64()) for x in rest)], [*SIZED, "size", "pairs", "kinds", "total"])
 
     t = lowered(texts.withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))), id_col, text_col)
     dealt = t.mapInArrow(deal, f"bucket int, {_schema(PAIR)}").repartitionById(parts, "bucket")
-    sized = cut(dealt.mapInArrow(meet, f"{_schema(SIZED)}, pairs long, kinds long, total long"))
+    sized = cut(dealt.mapInArrow(meet, f"{_schema(SIZED)}, size long, pairs long, kinds long, total long"))
     pairs, kinds, total = (x or 0 for x in sized.agg(F.sum("pairs"), F.sum("kinds"), F.sum("total")).first())
     every = total + kinds + len(hot)
 
@@ -250,20 +251,23 @@ def own_sums(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return {"doc": docs} | {x: np.bincount(at, v, len(docs)).astype(SUMS[x]) for x, v in columns.items()}
 
     def weigh(batches):
-        for batch in batches:
-            doc, n, c2, c = _joined([batch], SIZED).values()
-            word, two, one = c2 != 0, c2 > 0, (c + 1) / every
-            p = np.where(two, (c2 + 1) / (c + max(pairs, 1)), one)
-            times = np.where(two, n, c2 == 0)  # pairs and first words have a probability by two
-            s = add(doc, {"n": np.where(word, n, 0), "uni": np.where(word, n * np.log10(one), 0.0), "bi": times * np.log10(p), "inverse": times / p})
-            yield _dealt(_mixed(s["doc"].view(np.uint64)) % np.uint64(parts), parts, s)
+        held = [r for batch in batches for r in batch.to_pylist()]
+        if not held:
+            return
+        doc, n, c2, c = (np.concatenate([np.frombuffer(pa.decompress(r[x], r["size"] * np.dtype(kind).itemsize, "zstd"), kind) for r in held]) for x, kind in SIZED.items())
+        word, two, one = c2 != 0, c2 > 0, (c + 1) / every
+        p = np.where(two, (c2 + 1) / (c + max(pairs, 1)), one)
+        times = np.where(two, n, c2 == 0)  # pairs and first words have a probability by two
+        weights = {"n": lambda: np.where(word, n, 0), "uni": lambda: np.where(word, n * np.log10(one), 0.0), "bi": lambda: times * np.log10(p), "inverse": lambda: times / p}
+        s = add(doc, {x: weights[x]() for x in list(sums)[1:]})
+        yield _dealt(_mixed(s["doc"].view(np.uint64)) % np.uint64(parts), parts, s)
 
     def sum_up(batches):
-        s = _joined(batches, SUMS)
+        s = _joined(batches, sums)
         s = add(s.pop("doc"), s)
         doc = pa.array(s["doc"], pa.int64(), mask=s["doc"] == NO_ID)
         for i in range(0, len(doc), HAND):
-            yield pa.RecordBatch.from_arrays([doc[i : i + HAND], *(pa.array(s[x][i : i + HAND]) for x in list(SUMS)[1:])], list(SUMS))
+            yield pa.RecordBatch.from_arrays([doc[i : i + HAND], *(pa.array(s[x][i : i + HAND]) for x in list(sums)[1:])], list(sums))
 
-    weighed = sized.select(*SIZED).mapInArrow(weigh, f"bucket int, {_schema(SUMS)}").repartitionById(parts, "bucket")
-    return weighed.mapInArrow(sum_up, "doc long, n long, uni double, bi double, inverse double").withColumn("doc", F.col("doc").cast(dict(texts.dtypes)[id_col]))
+    weighed = sized.select(*SIZED, "size").mapInArrow(weigh, f"bucket int, {_schema(sums)}").repartitionById(parts, "bucket")
+    return weighed.mapInArrow(sum_up, ", ".join(["doc long, n long", *(f"{x} double" for x in of)])).withColumn("doc", F.col("doc").cast(dict(texts.dtypes)[id_col]))

@@ -186,7 +186,7 @@ def c19(spark, sf):
 
 @query("c24_token_perplexity", Q._LM + " SELECT doc, count(*) AS n, round(avg(pow(10, -bp)), 2) AS mean FROM p GROUP BY doc")
 def c24(spark, sf):
-    return L.own_perplexity(X.table(spark, sf, "documents"), "doc_id").select("doc", "n", F.round("mean_inverse", 2).alias("mean"))
+    return L.token_perplexity(X.table(spark, sf, "documents"), "doc_id").select("doc", "n", F.round("mean", 2).alias("mean"))
 
 
 @query("c28_nonzero_replacement", "SELECT c_custkey, CASE WHEN a = 0 AND b > 0 THEN b ELSE a END AS lo, CASE WHEN b = 0 AND a > 0 THEN a ELSE b END AS mid FROM (SELECT c_custkey, CAST(c_custkey % 3 AS DOUBLE) AS a, CAST(c_nationkey % 4 AS DOUBLE) AS b FROM customer)")
